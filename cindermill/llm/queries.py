@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio import op9_audio
 from .bpe import op10_bpe
+from .decontaminate import OP8_SQL, op8_decontaminate
+from .html_text import op1_html_text
+from .licences import op3_licences
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
+        "op3_licences": op3_licences,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_audio": op9_audio,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_decontaminate": OP8_SQL,
+    }
