@@ -11,12 +11,16 @@ from .bpe import op10_bpe
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .html_text import op1_html_text
 from .licences import op3_licences
+from .line_dedup import OP7_SQL, op7_line_dedup
+from .warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
         "op3_licences": op3_licences,
+        "op6_warc": op6_warc,
+        "op7_line_dedup": op7_line_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op9_audio": op9_audio,
         "op10_bpe": op10_bpe,
@@ -25,5 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_warc": OP6_SQL,
+        "op7_line_dedup": OP7_SQL,
         "op8_decontaminate": OP8_SQL,
     }
