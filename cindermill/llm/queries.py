@@ -12,6 +12,7 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .html_text import op1_html_text
 from .licences import op3_licences
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .near_duplicates import op5_jaccard_join
 from .quality import op4_quality
 from .toxicity import op2_toxicity
 from .warc import OP6_SQL, op6_warc
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_licences": op3_licences,
         "op4_quality": op4_quality,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_warc": op6_warc,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontaminate": op8_decontaminate,
