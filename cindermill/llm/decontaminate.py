@@ -234,6 +234,13 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int, keep:
     return map_rows(keyed.join(found, "__key", "left"), _totals, FIELDS, keep, ["__text", "__spans", "__names"])
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, limit_mb: float = LIMIT_MB) -> DataFrame:
+    """The rows of ``docs``, all columns, that share no window with the benchmark."""
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = docs.toDF(*columns).withColumn("text", F.col(columns[[c.lower() for c in docs.columns].index("text")]))
+    return contamination(numbered, benchmark, window, gram, limit_mb, tuple(columns)).filter(~F.col("contaminated")).select(*columns).toDF(*docs.columns)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
