@@ -1,0 +1,65 @@
+"""One local session for all tests, and the comparison with DuckDB."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
+    folder = tmp_path_factory.mktemp("shared")
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{folder}")
+        .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    return SF
+
+
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    import duckdb
+
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return connection
+
+
+def plain(rows, columns):
+    """Rows as sorted tuples of text, columns by name; floats to nine digits."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    show = lambda v: "" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v)
+    return [columns[i] for i in order], sorted(tuple(show(r[i]) for i in order) for r in rows)
+
+
+@pytest.fixture(scope="session")
+def same_as_sql(spark, duck, sf_dir):
+    def check(query, sql):
+        df = query(spark, sf_dir)
+        result = duck.execute(sql)
+        want = plain(result.fetchall(), [d[0] for d in result.description])
+        assert plain([tuple(r) for r in df.collect()], df.columns) == want
+
+    return check
