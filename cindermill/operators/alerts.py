@@ -44,6 +44,18 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RULE_SCHEMA).json(path)
 
 
+def publish_rules(rules: DataFrame, path: str) -> None:
+    """Replace the rules at ``path``: they are written beside it and moved there at the end, so that a reader sees the old or the new ones."""
+    spark = rules.sparkSession
+    rules.coalesce(1).write.mode("overwrite").json(f"{path}.new")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = old.getFileSystem(conf)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot move the rules to {path}")
+
+
 def service_metrics(logs: DataFrame, interval_ms: int = MINUTE_MS) -> DataFrame:
     """Counters of each service and interval; errors include FATAL here. Silent intervals have no row."""
     out = logs.filter("service_name IS NOT NULL").groupBy("service_name", bucket_of(F.col("ts_ms"), interval_ms).alias("bucket_ms"))

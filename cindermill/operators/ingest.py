@@ -104,6 +104,20 @@ def rejects(logs: DataFrame) -> DataFrame:
     return logs.withColumn("reason", reject_reason()).filter("reason IS NOT NULL")
 
 
+def counters(logs: DataFrame) -> DataFrame:
+    """How many records came, were duplicates, and were rejected after dedup."""
+    kept = deduplicate(logs)
+    came = logs.agg(F.count("*").alias("received"))
+    left = kept.agg(F.count("*").alias("unique"), F.count_if(reject_reason().isNotNull()).alias("rejected"))
+    # Both sides are a single row by construction.
+    return came.join(left).select("received", (F.col("received") - F.col("unique")).alias("duplicates"), "rejected")
+
+
+def observed(logs: DataFrame, observation) -> DataFrame:
+    """``logs`` with counters that fill ``observation`` (a ``pyspark.sql.Observation``) as a job or stream runs over it, without a pass of their own."""
+    return logs.observe(observation, F.count("*").alias("received"), F.count_if(is_blank(F.col("event_id"))).alias("without_id"), F.count_if(reject_reason().isNotNull()).alias("rejected"))
+
+
 def enrich_geo(logs: DataFrame, prefixes: dict[str, tuple[str, str]] = GEO_PREFIXES) -> DataFrame:
     """Country and city by address prefix; records without an address, with a country, or from the host itself stay as they are."""
     ip = F.col("source_ip")

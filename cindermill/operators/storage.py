@@ -50,6 +50,11 @@ def service_or_unknown() -> Column:
     return F.when(is_blank(F.col("service_name")), "unknown").otherwise(F.col("service_name"))
 
 
+def hot_live(logs: DataFrame, as_of_ms: int, ttl_ms: int = HOT_MS) -> DataFrame:
+    """What the hot tier still holds: records that have not outlived their time."""
+    return logs.filter(F.col("ts_ms") >= as_of_ms - ttl_ms)
+
+
 def by_key(logs: DataFrame, service: str, event_id: str) -> DataFrame:
     """Hot-tier get: one record by service and id."""
     return logs.filter((F.col("service_name") == service) & (F.col("event_id") == event_id)).limit(1)

@@ -143,6 +143,16 @@ def ingest_rejects(spark, sf_dir):
     return ingest.rejects(_faulty(spark, sf_dir)).select("event_id", "reason")
 
 
+@query(
+    "ingest_counters",
+    f"""{_FAULTY}, twice AS (SELECT * FROM judged UNION ALL SELECT * FROM judged WHERE kafka_offset % 3 = 0)
+SELECT count(*) AS received, count(*) - count(DISTINCT event_id) AS duplicates, count(DISTINCT event_id) FILTER (WHERE reason IS NOT NULL) AS rejected FROM twice""",
+)
+def ingest_counters(spark, sf_dir):
+    faulty = _faulty(spark, sf_dir)
+    return ingest.counters(faulty.unionByName(faulty.filter(F.col("kafka_offset") % 3 == 0)))
+
+
 def _geo_sql(column: str, other: str) -> str:
     cases = " ".join(f"WHEN starts_with(source_ip, '{p}') THEN '{v[0 if column == 'country' else 1]}'" for p, v in ingest.GEO_PREFIXES.items())
     return f"CASE WHEN country IS NOT NULL OR source_ip IS NULL OR source_ip IN ('127.0.0.1', '0:0:0:0:0:0:0:1') THEN {column} {cases} ELSE 'UNKNOWN' END AS {column}{other}"
@@ -374,6 +384,12 @@ def store_recent(spark, sf_dir):
     return storage.recent(logs, metrics.as_of_last(logs)).select(SHOWN)
 
 
+@query("store_hot_live", f"{LOGS} SELECT event_id, ts_ms FROM logs WHERE ts_ms >= (SELECT max(ts_ms) FROM logs) - 3600000")
+def store_hot_live(spark, sf_dir):
+    logs = read_logs(spark, sf_dir)
+    return storage.hot_live(logs, metrics.as_of_last(logs)).select("event_id", "ts_ms")
+
+
 @query("store_by_id", f"{LOGS} SELECT {_SHOWN} FROM logs WHERE event_id = '77'")
 def store_by_id(spark, sf_dir):
     return storage.by_id(read_logs(spark, sf_dir), "77").select(SHOWN)
