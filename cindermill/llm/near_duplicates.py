@@ -7,7 +7,7 @@ features at most, so in some partition they differ in ``k2`` cells at most, and
 sets leave out signatures of empty subsets.
 
 1. Equal sets are one class (its smallest document stands for it).
-2. Signatures of the representatives are aggregated; each holder of a shared signature is tied to its smallest holder.
+2. Holders of a signature are tied in a chain, first within each chunk of a task, then over all by one shuffle.
    Components of these ties are families: no link leaves a family.
 3. Inside families all pairs of like size are compared exactly, in blocks of bounded size, inside tasks; tasks return
    spanning links only, so a family of m gives some m rows, not m * m.
@@ -21,11 +21,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, handover, is_space_free, mix, rolling, small_batches, table
+from .common import WordHasher, free_shuffles, handover, is_space_free, mix, rolling, small_batches, table
 from .components import components
 
 #: Documents of a block, and characters of its texts, at most (a single longer text is a block of its own).
@@ -101,21 +101,61 @@ class Scheme:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def _sign_task(words: int, scheme_args: tuple, names: list[str]):
+def _longs(values) -> pa.Array:
+    return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
+
+
+def set_key(items: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    return int(mix(items, 21).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(items, 22))) if len(items) else 0
+
+
+def _key_task(words: int, scheme_args: tuple, names: list[str]):
+    """(id, text) to (id, size, two keys and band of the set)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(*scheme_args)
         for batch in batches:
             for part in small_batches(batch):
                 sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-                signs = [scheme.signatures(s) if len(s) else s for s in sets]
-                longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-                with np.errstate(over="ignore"):
-                    k1 = longs([int(mix(s, 21).sum(dtype=np.uint64)) for s in sets])
-                    k2 = longs([int(np.bitwise_xor.reduce(mix(s, 22))) if len(s) else 0 for s in sets])
-                flat = np.concatenate(signs).view(np.int64)
-                offsets = pa.array(np.cumsum([0, *(len(s) for s in signs)]), pa.int32())
-                arrays = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), k1, k2, pa.array([scheme.band(len(s)) if len(s) else -1 for s in sets], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                k1, k2 = zip(*map(set_key, sets), strict=True)
+                bands = pa.array([scheme.band(len(s)) if len(s) else -1 for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _longs(k1), _longs(k2), bands], names=names)
+
+    return run
+
+
+def _holder_task(words: int, scheme_args: tuple):
+    """Texts to (sign, holder): who holds a signature, combined within a chunk.
+
+    Of a signature that several sets of a chunk hold, one row with its first holder goes on; the others are tied to
+    that holder by a sign of its own. So a signature that a large family shares has a row per chunk, not per document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(*scheme_args)
+        for batch in batches:
+            for part in small_batches(batch, 16 << 20):
+                keys, signs = [], []
+                for text in part.column(0).to_pylist():
+                    items = shingles(text, words)
+                    if len(items):
+                        keys.append(set_key(items)[0])
+                        signs.append(scheme.signatures(items))
+                if not keys:
+                    continue
+                holder = np.repeat(np.array(keys, dtype=np.uint64), [len(s) for s in signs])
+                sign, first, place = np.unique(np.concatenate(signs), return_index=True, return_inverse=True)
+                lead = holder[first]
+                led = lead[place]
+                late = np.flatnonzero(led != holder)
+                _, one = np.unique(mix(led[late], 1) ^ mix(holder[late], 2), return_index=True)
+                tied = late[one]
+                leads = np.unique(led[tied])
+                out_sign = np.concatenate([sign, mix(led[tied], 77), mix(leads, 77)])
+                out_holder = np.concatenate([lead, holder[tied], leads])
+                for at in range(0, len(out_sign), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([_longs(out_sign[at : at + (1 << 18)]), _longs(out_holder[at : at + (1 << 18)])], names=["sign", "holder"])
 
     return run
 
@@ -230,32 +270,34 @@ def _groups(nodes: DataFrame) -> DataFrame:
     return small.unionByName(same).unionByName(up).unionByName(down)
 
 
-def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, n2: int = 3, k2: int = 1) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, n2: int = 2, k2: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Documents link when den * intersection >= num * union of their shingle sets. Null texts and texts without words
-    have no shingles and form components of their own. Rows that share a doc_id count as one document that has all their
-    texts; rows with a null doc_id take part in no link but that to equal sets. Other columns are ignored.
+    have no shingles and form components of their own. Every row gets the component of its own text; a doc_id that stands
+    first in several texts joins their components. Rows with a null doc_id take part in no link but that to equal sets.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
     id_field = slim.schema["doc_id"]
-    fields = [T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("signs", T.ArrayType(T.LongType()))]
-    schema = T.StructType([id_field, *fields])
-    signed = handover(slim.mapInArrow(_sign_task(words, (num, den, n2, k2), schema.names), schema), "sets")
-    sets = signed.filter("n > 0")
-    classes = handover(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
-
-    chosen = sets.filter(F.size("signs") > 0).join(classes.withColumnRenamed("node", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
-    marks = handover(chosen.select(F.col("doc_id").alias("node"), "band", "signs"), "signatures")
-    holders = marks.select("node", F.explode("signs").alias("sign"))
-    shared = handover(holders.groupBy("sign").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("sign", "first"), "shared")
-    ties = holders.join(shared, "sign").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    scheme = (num, den, n2, k2)
+    schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("band", T.IntegerType())])
+    keyed = handover(slim.mapInArrow(_key_task(words, scheme, schema.names), schema), "sets")
+    classes = handover(keyed.filter("n > 0").groupBy("k1", "k2", "band").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
+
+    # One shuffle of the signatures: holders of one, in order, are tied each to the one before.
+    holders = slim.select("text").mapInArrow(_holder_task(words, scheme), "sign long, holder long")
+    before = F.lag("holder").over(Window.partitionBy("sign").orderBy("holder"))
+    ties = handover(holders.select(F.col("holder").alias("a"), before.alias("b")).filter("a <> b").distinct(), "ties")
+    free_shuffles(spark)
     families = components(ties, "families")
-    members = families.select("node", F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("node"), F.col("component").alias("family")).distinct())
-    nodes = handover(members.join(marks.select("node", "band"), "node").distinct(), "family-nodes")
+    members = families.select(F.col("node").alias("k1"), F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("k1"), F.col("component").alias("family")).distinct())
+    nodes = handover(members.join(classes, "k1").select(F.col("node").alias("doc_id"), "family", "band").distinct(), "family-nodes")
 
-    texts = handover(slim.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "family", "band", F.length("text").alias("chars"), "text"), "family-texts")
+    # The number of family members grows with the input, so they are never broadcast.
+    texts = handover(slim.join(nodes.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "family", "band", F.length("text").alias("chars"), "text"), "family-texts")
+    free_shuffles(spark)
     groups = _groups(texts.select("node", "family", "band", "chars").distinct())
     work = groups.join(texts.select("node", "text"), "node").select("g", "side", "node", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -265,7 +307,7 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     linked = components(compared.distinct(), "links")
 
     roots = handover(classes.join(linked, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("root")), "roots")
-    return signed.select("doc_id", "n", "k1", "k2").join(roots, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return keyed.select("doc_id", "n", "k1", "k2").join(roots, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
