@@ -230,7 +230,7 @@ def capture_defaults(spark, sf_dir):
 
 
 # --- windows and patterns --------------------------------------------------------------------------------------------
-BUCKETS = f"""{LOGS}, b AS (SELECT service_name, ts_ms - ts_ms % {BUCKET} AS bucket_ms, count(*) AS total, count_if(level = 'ERROR') AS errors, count_if(level = 'WARN') AS warns, count_if(level = 'FATAL') AS fatals, count_if(level NOT IN ('ERROR', 'WARN', 'FATAL')) AS infos FROM logs GROUP BY ALL)"""
+BUCKETS = f"""{LOGS}, b AS (SELECT service_name, ts_ms - ts_ms % {BUCKET} AS bucket_ms, count(*) AS total, CAST(count_if(level = 'ERROR') AS BIGINT) AS errors, CAST(count_if(level = 'WARN') AS BIGINT) AS warns, CAST(count_if(level = 'FATAL') AS BIGINT) AS fatals, CAST(count_if(level NOT IN ('ERROR', 'WARN', 'FATAL')) AS BIGINT) AS infos FROM logs GROUP BY ALL)"""
 ACTIVE = f"{BUCKETS}, a AS (SELECT * FROM b WHERE bucket_ms >= (SELECT max(ts_ms) FROM logs) - {WINDOW})"
 SUMMARY = f"""{ACTIVE}, s AS (SELECT service_name, CAST(sum(total) AS BIGINT) AS total_events, CAST(sum(errors) AS BIGINT) AS total_errors, CAST(sum(warns) AS BIGINT) AS total_warns, CAST(sum(fatals) AS BIGINT) AS total_fatals, CAST(count(*) AS INTEGER) AS active_buckets, 1440 AS window_minutes, CAST(sum(errors) * 100 // sum(total) AS BIGINT) AS error_rate_percent FROM a GROUP BY service_name)"""
 
@@ -449,7 +449,7 @@ def store_segment_count(spark, sf_dir):
 
 
 # --- alerts ----------------------------------------------------------------------------------------------------------
-METRICS = f"""{LOGS.replace('WITH', 'WITH RECURSIVE', 1)}, met AS (SELECT service_name, ts_ms - ts_ms % {SIX_HOURS} AS bucket_ms, count(*) AS total, count_if(level IN ('ERROR', 'FATAL')) AS errors, count_if(level = 'FATAL') AS fatals, count_if(level IN ('ERROR', 'FATAL')) * 100.0::DOUBLE / count(*) AS error_rate FROM logs GROUP BY 1, 2),
+METRICS = f"""{LOGS.replace('WITH', 'WITH RECURSIVE', 1)}, met AS (SELECT service_name, ts_ms - ts_ms % {SIX_HOURS} AS bucket_ms, count(*) AS total, CAST(count_if(level IN ('ERROR', 'FATAL')) AS BIGINT) AS errors, CAST(count_if(level = 'FATAL') AS BIGINT) AS fatals, count_if(level IN ('ERROR', 'FATAL')) * 100.0::DOUBLE / count(*) AS error_rate FROM logs GROUP BY 1, 2),
 rules(rule_id, metric_type, threshold, use_ewma) AS (VALUES ('rule-error-rate-global', 'ERROR_RATE_PERCENT', {THRESHOLD}::DOUBLE, false), ('rule-ewma-anomaly', 'ERROR_RATE_PERCENT', 0.0::DOUBLE, true), ('rule-fatal-events', 'FATAL_COUNT', 1.0::DOUBLE, false)),
 read AS (SELECT rule_id, service_name, bucket_ms, threshold, use_ewma, CASE WHEN metric_type = 'FATAL_COUNT' THEN fatals::DOUBLE ELSE error_rate END AS value, row_number() OVER (PARTITION BY rule_id, service_name ORDER BY bucket_ms) AS n FROM met, rules),
 fold AS (SELECT rule_id, service_name, bucket_ms, n, value, value AS mean, 0.0::DOUBLE AS variance FROM read WHERE n = 1
@@ -511,7 +511,7 @@ def alert_fsm(spark, sf_dir):
     return _fsm_columns(_evaluated(spark, sf_dir))
 
 
-@query("alert_status", f"{LATEST} SELECT count(*) AS total_instances, count_if(state = 'FIRING') AS firing, count_if(state = 'PENDING') AS pending, count_if(state = 'INACTIVE') AS inactive, 3::BIGINT AS total_rules FROM latest")
+@query("alert_status", f"{LATEST} SELECT count(*) AS total_instances, CAST(count_if(state = 'FIRING') AS BIGINT) AS firing, CAST(count_if(state = 'PENDING') AS BIGINT) AS pending, CAST(count_if(state = 'INACTIVE') AS BIGINT) AS inactive, 3::BIGINT AS total_rules FROM latest")
 def alert_status(spark, sf_dir):
     return alerts.status(alerts.latest(_evaluated(spark, sf_dir)), _rules(spark))
 
