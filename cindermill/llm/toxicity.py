@@ -18,8 +18,8 @@ from .learning import labelled_sample, minimise, sigmoid
 SIZES = (4, 6, 8)
 BITS = 20
 #: Training rows of each class at most; features kept at most; documents that a feature must be in; smoothing; L2 penalty.
-PER_CLASS = 2500
-FEATURES = 60_000
+PER_CLASS = 1500
+FEATURES = 30_000
 MIN_DOCS = 4
 SMOOTHING = 1.0
 PENALTY = 1.0
@@ -73,23 +73,27 @@ def train(texts: list[str], y: np.ndarray, row_weights: np.ndarray) -> Model:
     pos, neg = float(row_weights[y == 1].sum()), float(row_weights[y == 0].sum())
     if not pos or not neg:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
-    sets = [distinct_grams(t) for t in texts]
-    counts = np.zeros((2, 1 << BITS))
-    rows = np.zeros(2)
-    for s, k in zip(sets, y.astype(int), strict=True):
-        counts[k, s] += 1
+    # The texts are read twice, so that only the chosen features of each are ever held.
+    counts = np.zeros((2, 1 << BITS), dtype=np.float32)
+    rows = np.zeros(2, dtype=np.float32)
+    for t, k in zip(texts, y.astype(int), strict=True):
+        counts[k, distinct_grams(t)] += 1
         rows[k] += 1
     ratio = np.log((counts[1] + SMOOTHING) / (rows[1] + 2 * SMOOTHING)) - np.log((counts[0] + SMOOTHING) / (rows[0] + 2 * SMOOTHING))
-    strength = np.where(counts.sum(axis=0) >= MIN_DOCS, np.abs(ratio) * np.sqrt(np.maximum(counts[0] / rows[0], counts[1] / rows[1])), 0.0)
+    strength = np.where(counts[0] + counts[1] >= MIN_DOCS, np.abs(ratio) * np.sqrt(np.maximum(counts[0] / rows[0], counts[1] / rows[1])), 0.0)
     keep = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     keep = keep[strength[keep] > 0]
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[keep] = np.arange(len(keep))
-    columns = [place[s] for s in sets]
-    columns = [c[c >= 0] for c in columns]
+    r = ratio[keep].astype(np.float64)
+    del counts, strength, ratio
+    columns = []
+    for t in texts:
+        c = place[distinct_grams(t)]
+        columns.append(c[c >= 0])
     row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    column = np.concatenate(columns)
-    r = ratio[keep]
+    column = np.concatenate(columns).astype(np.int64)
+    del columns, place
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         v = x[:-1] * r
