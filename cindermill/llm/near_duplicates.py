@@ -4,7 +4,8 @@ Sizes fall into bands so that similar sets are in the same or in adjacent bands.
 feature domain is dealt at random into ``n1`` partitions of ``n2`` cells. Sets that are similar enough differ in k
 features at most, so in some partition they differ in ``k2`` cells at most, and they agree on one of its subsets of
 ``n2 - k2`` cells; the contents of every such subset are a set's signatures. A few partitions more than needed let most
-sets leave out signatures of empty subsets.
+sets leave out signatures of empty subsets. Frequent shingles (of passages that many documents share) stay out of the
+signatures, so that a common passage alone ties nothing.
 
 1. Equal sets are one class (its smallest document stands for it).
 2. Holders of a signature are tied in a chain, first within each chunk of a task, then over all by one shuffle.
@@ -34,6 +35,11 @@ BLOCK_CHARS = 8_000_000
 #: Spare partitions, as a share of those needed.
 SPARE = 0.15
 
+#: Documents sampled to find frequent shingles, the length of a text from which it is not, and the documents of the sample that share a frequent one.
+SAMPLE_DOCS = 20_000
+SAMPLE_CHARS = 20_000
+FREQUENT = 5
+
 _HASHER: list[WordHasher] = []
 
 
@@ -69,8 +75,36 @@ class Scheme:
             self.band(self.highs[-1] + 1)
         return (self.den - self.num) * (self.highs[band] + self.highs[band + 1]) // (self.den + self.num)
 
-    def signatures(self, items: np.ndarray) -> np.ndarray:
-        """The distinct signatures of a set."""
+    def _cells(self, items: np.ndarray, group: int, n1: int, domain: int) -> tuple[np.ndarray, np.ndarray]:
+        """(marks, filled) of every subset of cells in every partition, by subset and partition."""
+        cells = n1 * self.n2
+        cell = (mix(items, 1000 + 2 * group + domain) % np.uint64(cells)).astype(np.int64)
+        value = mix(items, 7)
+        if len(items) < 1 << 20:
+            low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
+            high = np.bincount(cell, (value >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
+            total = low + high * np.uint64(0xC2B2AE3D27D4EB4F)
+        else:
+            total = np.zeros(cells, np.uint64)
+            np.add.at(total, cell, value)
+        content = mix(total + mix(np.arange(cells, dtype=np.uint64), 5)).reshape(n1, self.n2)
+        filled = (np.bincount(cell, minlength=cells) > 0).reshape(n1, self.n2)
+        sums = np.stack([content[:, s].sum(axis=1, dtype=np.uint64) for s in self.subsets])
+        salt = np.arange(len(self.subsets), dtype=np.uint64) + np.uint64(100 * (2 * group + domain))
+        return mix(sums + mix(salt, 3)[:, None]), np.stack([filled[:, s].any(axis=1) for s in self.subsets])
+
+    def signatures(self, items: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+        """The distinct signatures of a set.
+
+        ``frequent`` (sorted) features are left out first: that takes nothing from the guarantee, since sets differ in
+        no more features then. A set that is poor without them (more partitions with an empty subset than there are
+        spare ones) also gives the signatures of all its features. Of two similar sets, either one is rich, and they
+        share a filled subset of the rare features, or both are poor, and they share one of all features.
+        """
+        rare = items
+        if frequent is not None and len(frequent):
+            at = np.searchsorted(frequent, items)
+            rare = items[frequent[np.minimum(at, len(frequent) - 1)] != items]
         out = []
         band = self.band(len(items))
         for group in (band - 1, band):
@@ -79,25 +113,15 @@ class Scheme:
                 continue  # similar sets of these bands are equal
             need = k // (self.k2 + 1) + 1
             n1 = need + int(need * SPARE)
-            cells = n1 * self.n2
-            deal = mix(items, 1000 + group)
-            cell = (deal % np.uint64(cells)).astype(np.int64)
-            value = mix(items, 7)
-            if len(items) < 1 << 20:
-                low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
-                high = np.bincount(cell, (value >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
-                total = low + high * np.uint64(0xC2B2AE3D27D4EB4F)
-            else:
-                total = np.zeros(cells, np.uint64)
-                np.add.at(total, cell, value)
-            content = mix(total + mix(np.arange(cells, dtype=np.uint64), 5)).reshape(n1, self.n2)
-            filled = (np.bincount(cell, minlength=cells) > 0).reshape(n1, self.n2)
-            sums = np.stack([content[:, s].sum(axis=1, dtype=np.uint64) for s in self.subsets])
-            some = np.stack([filled[:, s].any(axis=1) for s in self.subsets])
-            marks = mix(sums + mix((np.arange(len(self.subsets), dtype=np.uint64) + np.uint64(100 * group)), 3)[:, None])
             # At least n1 - need + 1 partitions agree: a set with fewer poor partitions shares a rich one.
-            poor = int((~some.all(axis=0)).sum())
-            out.append(marks[some] if poor <= n1 - need else marks.ravel())
+            poor = True
+            if rare is not items:
+                marks, some = self._cells(rare, group, n1, 0)
+                out.append(marks[some])
+                poor = int((~some.all(axis=0)).sum()) > n1 - need
+            if poor:
+                marks, some = self._cells(items, group, n1, 1)
+                out.append(marks[some] if int((~some.all(axis=0)).sum()) <= n1 - need else marks.ravel())
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -125,7 +149,29 @@ def _key_task(words: int, scheme_args: tuple, names: list[str]):
     return run
 
 
-def _holder_task(words: int, scheme_args: tuple):
+def _shingle_task(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch):
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate([shingles(t, words) for t in part.column(0).to_pylist()]))], names=["item"])
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of the shingles that ``FREQUENT`` documents or more of a sample of about ``SAMPLE_DOCS`` share.
+
+    They only decide which features the signatures are made of, never the result. Their number has a bound: the
+    sample's shingles divided by ``FREQUENT``; texts over ``SAMPLE_CHARS`` characters are not sampled.
+    """
+    short = docs.select("text").filter(F.length("text") <= SAMPLE_CHARS)
+    share = min(1.0, SAMPLE_DOCS / max(short.count(), 1))
+    items = short.sample(share, seed=1).mapInArrow(_shingle_task(words), "item long")
+    found = items.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).select("item").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+def _holder_task(words: int, scheme_args: tuple, frequent: np.ndarray):
     """Texts to (sign, holder): who holds a signature, combined within a chunk.
 
     Of a signature that several sets of a chunk hold, one row with its first holder goes on; the others are tied to
@@ -141,7 +187,7 @@ def _holder_task(words: int, scheme_args: tuple):
                     items = shingles(text, words)
                     if len(items):
                         keys.append(set_key(items)[0])
-                        signs.append(scheme.signatures(items))
+                        signs.append(scheme.signatures(items, frequent))
                 if not keys:
                     continue
                 holder = np.repeat(np.array(keys, dtype=np.uint64), [len(s) for s in signs])
@@ -270,13 +316,14 @@ def _groups(nodes: DataFrame) -> DataFrame:
     return small.unionByName(same).unionByName(up).unionByName(down)
 
 
-def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, n2: int = 2, k2: int = 1) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, n2: int = 2, k2: int = 1, skip_frequent: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Documents link when den * intersection >= num * union of their shingle sets. Null texts and texts without words
     have no shingles and form components of their own. Every row gets the component of its own text; a doc_id that stands
     first in several texts joins their components. Rows with a null doc_id take part in no link but that to equal sets.
-    Other columns are ignored.
+    Other columns are ignored. ``skip_frequent`` keeps frequent shingles out of the signatures (same result): worth its
+    pass over a sample at similarities where a cell holds few shingles, so that a common passage alone may fill one.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
@@ -287,7 +334,8 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     classes = handover(keyed.filter("n > 0").groupBy("k1", "k2", "band").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
 
     # One shuffle of the signatures: holders of one, in order, are tied each to the one before.
-    holders = slim.select("text").mapInArrow(_holder_task(words, scheme), "sign long, holder long")
+    frequent = frequent_shingles(slim, words) if skip_frequent else np.zeros(0, np.uint64)
+    holders = slim.select("text").mapInArrow(_holder_task(words, scheme, frequent), "sign long, holder long")
     before = F.lag("holder").over(Window.partitionBy("sign").orderBy("holder"))
     ties = handover(holders.select(F.col("holder").alias("a"), before.alias("b")).filter("a <> b").distinct(), "ties")
     free_shuffles(spark)
@@ -311,4 +359,4 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100, n2=2, k2=1)
+    return similar_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100, n2=2, k2=1, skip_frequent=False)

@@ -68,12 +68,12 @@ def near_copies(seed, families=6, size=12, length=60):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("words", "num", "n2", "k2"), [(3, 90, 2, 1), (5, 80, 2, 1), (2, 60, 3, 1), (1, 80, 1, 0)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, num, n2, k2):
+@pytest.mark.parametrize(("words", "num", "n2", "k2", "skip"), [(3, 90, 2, 1, False), (5, 80, 2, 1, True), (2, 60, 3, 1, True), (1, 80, 1, 0, False)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, num, n2, k2, skip):
     rows = near_copies(words * num)
     monkeypatch.setattr(near_duplicates, "BLOCK_DOCS", 5)  # so that families are cut into blocks
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"node": F.lit("x"), "family": F.lit(1), "g": F.lit(2)})
-    out = near_duplicates.similar_components(docs, words, num, 100, n2, k2)
+    out = near_duplicates.similar_components(docs, words, num, 100, n2, k2, skip)
     assert out.columns == ["doc_id", "n_shingles", "component_id"]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == components_by_hand(rows, words, num)
 
@@ -97,7 +97,10 @@ def test_similar_sets_share_a_signature():
             inter = len(np.intersect1d(a, b))
             a, b = np.unique(a), np.unique(b)
             if 100 * inter >= num * (len(a) + len(b) - inter) and inter < len(a) + len(b) - inter:
-                assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b))), (num, n2, k2, n)
+                both = np.union1d(a, b)
+                for share in (0.0, 0.3, 0.9, 1.0):
+                    frequent = both[rng.random(len(both)) < share]
+                    assert len(np.intersect1d(scheme.signatures(a, frequent), scheme.signatures(b, frequent))), (num, n2, k2, n, share)
 
 
 def test_spanning_links_equal_brute_force():
