@@ -52,6 +52,34 @@ def test_deep_and_long_pages_end():
     assert len(html_text.main_text("<p>" + "word " * 200_000)) == 999_999
 
 
+STORY = [[f"<p>{f'{part} paragraph {i} ' + 'of the story ' * 14}</p>" for i in range(10)] for part in ("first", "second")]
+FIRST, SECOND = (" ".join(re.sub("<.*?>", " ", "".join(part)).split()) for part in STORY)
+
+
+@pytest.mark.parametrize("tags", [("<div>", "</div>"), ("<section>", "</section>"), ("<article>", "</article>"), ("<div><div>", "</div></div>")])
+def test_story_in_sibling_sections(tags):
+    """All parts as dense as the threshold are kept, in page order; a list of links between them is not."""
+    links = "<ul>" + "<li><a href=/x>Other story</a></li>" * 20 + "</ul>"
+    page = "<html><body>" + links.join(tags[0] + "".join(part) + tags[1] for part in STORY) + "</body></html>"
+    assert html_text.main_text(page) == f"{FIRST} {SECOND}"
+    assert html_text.main_text(page.replace(links, "")) == f"{FIRST} {SECOND}"
+    small = page.replace("".join(STORY[1]), STORY[1][0])
+    assert html_text.main_text(small) == f"{FIRST} {' '.join(re.sub('<.*?>', ' ', STORY[1][0]).split())}"
+
+
+def test_marked_paragraph_stays_whole():
+    """The text around a dense inline part goes with it."""
+    odd = "<p>" + "around " * 200 + "<b>in <i>aaaaaaaa</i> <i>bbbbbbbb</i></b> and after.</p>"
+    page = "<html><body><div>" + "".join(STORY[0]) + "</div><div>" + odd + "</div></body></html>"
+    assert html_text.main_text(page) == f"{FIRST} {'around ' * 200}in aaaaaaaa bbbbbbbb and after."
+
+
+def test_article_sets_the_borders():
+    """Dense text beside the one article of a page is not part of it."""
+    page = "<html><body><article>" + "".join(STORY[0]) + "</article><div>" + "".join(STORY[1][:3]) + "</div></body></html>"
+    assert html_text.main_text(page) == FIRST
+
+
 def test_page_query(spark, sf_dir):
     out = queries.queries()["op1_html_text"](spark, sf_dir)
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
