@@ -16,6 +16,10 @@ from .common import handover, table
 
 MIN_SITES = 10
 LG_K = 12
+#: A line of more words than this is a passage: it does not recur by chance.
+PASSAGE_WORDS = 50
+#: Repeats from which the hits of a passage are found by broadcast: few passages have so many, and no task gets all rows of one.
+COMMON = 100
 
 
 def _split(text: Column) -> Column:
@@ -29,8 +33,11 @@ def _key_columns() -> list[Column]:
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
     """doc, site, pos, h, w of every line that is not blank."""
-    exploded = docs.select(F.col("doc_id").alias("doc"), F.col(f"`{site}`").alias("site"), F.posexplode(_split(F.col("text"))).alias("pos", "__line"))
-    return exploded.select("doc", "site", "pos", *_key_columns()).filter("w > 0")
+    return _exploded(docs, site).select("doc", "site", "pos", *_key_columns()).filter("w > 0")
+
+
+def _exploded(docs: DataFrame, site: str) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("doc"), F.col(f"`{site}`").alias("site"), F.posexplode(_split(F.col("text"))).alias("pos", "__line"))
 
 
 def site_spread(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -54,7 +61,25 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     the spread but lose nothing. Repeated rows with one doc_id are treated alike. An empty table gives an empty table.
     """
     boilerplate = site_spread(docs, site, min_sites, lg_k)
-    found = _lines(docs, site).join(boilerplate, ["h", "w"]).filter(F.col("first").isNull() | (F.struct("doc", "pos") != F.col("first")))
+    return _cut(docs, _lines(docs, site).join(boilerplate, ["h", "w"]).filter(F.col("first").isNull() | (F.struct("doc", "pos") != F.col("first"))))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """Like ``dedup_lines`` for lines of more than ``PASSAGE_WORDS`` words only, which go wherever two documents or more have them, on whatever sites.
+
+    Meant for documents among which whole copies are gone: cut before, copies would be left as fragments that no longer match.
+    """
+    long = _exploded(docs, "doc_id").filter(F.length("__line") > 2 * PASSAGE_WORDS).filter(F.regexp_count("__line", F.lit(r"[^\x20\x09-\x0D]+")) > PASSAGE_WORDS)
+    passages = long.filter(F.col("doc").isNotNull()).select("doc", "pos", *_key_columns())
+    spread = passages.groupBy("h", "w").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    repeated = handover(spread.filter(F.col("first.doc") != F.col("last")).select("h", "w", "first", "n"), "passages")
+    parts = [F.broadcast(repeated.filter(F.col("n") >= COMMON)), repeated.filter(F.col("n") < COMMON)]
+    common, rare = (passages.join(p, ["h", "w"]).filter(F.struct("doc", "pos") != F.col("first")).select("doc", "pos") for p in parts)
+    return _cut(docs, common.unionByName(rare))
+
+
+def _cut(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the lines ``found`` (doc, pos), with n_lines and n_removed."""
     cuts = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("__cut"))
     kept = F.filter(_split(F.col("text")), lambda line, i: ~F.array_contains("__cut", i))
     out = docs.join(cuts, docs["doc_id"] == cuts["__doc"], "left")

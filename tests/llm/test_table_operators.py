@@ -221,6 +221,24 @@ def test_line_dedup_is_native(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_repeated_passages_on_few_sites(spark, sf_dir):
+    """A passage in four documents, three of them on the hot site, and one on the hot site alone, stay at their first places; a short line stays."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    few, hot, once, short = words(60), words(51), words(80), words(50)
+    rows = [(i, "\n".join([words(70), *lines]), site) for i, (site, lines) in enumerate([("hot", [once]), ("hot", [few, short]), ("hot", [f" {few}\r", short]), ("s1", [short, few, few]), ("hot", [few, hot]), ("s2", [once[:-1], short]), ("hot", [hot])])]
+    rows.append((9, few, "s3"))
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: t for i, t, _ in rows if i != 9}
+    want[2] = want[2].replace(f"\n {few}\r", "")
+    want[3] = want[3].replace(f"\n{few}", "")
+    want[4] = want[4].replace(f"\n{few}", "")
+    want[6] = want[6].replace(f"\n{hot}", "")
+    out = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, sf_dir), sf_dir)
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == want and all(r.n_chars == len(r.text) for r in out.collect())
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline_stages_by_hand(spark, sf_dir):
     """Each stage on what the one before kept, against brute force."""
