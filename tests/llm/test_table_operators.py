@@ -240,6 +240,16 @@ def test_repeated_passages_on_few_sites(spark, sf_dir):
 
 
 # --- pipeline --------------------------------------------------------------------------------------------------------
+def test_one_row_of_a_group_stays_where_ids_repeat_or_are_null(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, a), (1, a), (1, a), (None, a), (None, b), (None, b), (3, c), (3, f"{c} more"), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text[:2]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, "a0"), (None, "b0"), (3, "c0"), (4, "")], key=str)
+
+
 def test_pipeline_stages_by_hand(spark, sf_dir):
     """Each stage on what the one before kept, against brute force."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
