@@ -18,8 +18,8 @@ from .learning import labelled_sample, minimise, sigmoid
 SIZES = (4, 6, 8)
 BITS = 20
 #: Training rows of each class at most; features kept at most; documents that a feature must be in; smoothing; L2 penalty.
-PER_CLASS = 1500
-FEATURES = 30_000
+PER_CLASS = 2500
+FEATURES = 60_000
 MIN_DOCS = 4
 SMOOTHING = 1.0
 PENALTY = 1.0

@@ -92,6 +92,13 @@ def test_page_query(spark, sf_dir):
 
 
 # --- 2 and 4 ---------------------------------------------------------------------------------------------------------
+def test_training_keeps_more_than_thirty_thousand_features():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)) for _ in range(8)]
+    y = np.array([i % 2 for i in range(8) for _ in range(4)], dtype=np.float64)
+    assert len(toxicity.train([t for t in texts for _ in range(4)], y, np.ones(len(y))).features) > 40_000
+
+
 def toxic_data(n, seed):
     rng = random.Random(seed)
     calm, bad = "sun river stone walk green quiet hand over table light wind".split(), "blargh nurgling vorpalscum".split()
