@@ -49,7 +49,9 @@ PERMISSIVENESS = {
 #: What a linking or similar exception (``WITH ...``) adds to a licence's permissiveness.
 EXCEPTION_BONUS = 0.2
 TAGS = ("spdx license identifier", "licence identifier", "license identifier")
-_TAG = re.compile(r"(?:SPDX-)?Licen[cs]e-Identifier\s*:?[ \t]*([^\r\n]*)", re.I)
+#: A tag, written with a hyphen, or with other signs between its words and a colon; its expression ends with the line or at the next tag.
+_TAG = re.compile(r"(?:SPDX-)?Licen[cs]e(?:-Identifier\s*:?|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+Identifier\s*:)[ \t]*", re.I)
+_LINE_END = re.compile(r"[\r\n]|\Z")
 _EXPRESSION = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
 
@@ -149,8 +151,10 @@ class Scanner:
                 notices += 1
         expressions, freedom = [], []
         if tagged:
-            for m in _TAG.finditer(text):
-                postfix = to_postfix(m.group(1))
+            found = list(_TAG.finditer(text))
+            ends = [m.start() for m in found[1:]] + [len(text)]
+            for m, end in zip(found, ends, strict=False):
+                postfix = to_postfix(text[m.end() : _LINE_END.search(text, m.end(), end).start()])
                 if postfix:
                     value, labels = evaluate(postfix)
                     expressions.append(" ".join(postfix))

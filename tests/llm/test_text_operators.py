@@ -231,6 +231,14 @@ def test_expressions(text, postfix, value):
         assert licences.evaluate(got)[0] == value
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("SPDX-License-Identifier: MIT */ /* SPDX-License-Identifier: GPL-2.0", "MIT; GPL-2.0"), ("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: ISC OR MIT\nmore", "MIT; ISC MIT or"), ("License Identifier: MIT", "MIT"), ("the license identifier is here", ""), ("License-Identifier:\nMIT", "")],
+)
+def test_every_tag_of_a_line_is_evaluated(text, want):
+    assert licences.Scanner()(text)[-1] == want
+
+
 def test_licence_tags_and_odd_rows(spark):
     row = licences.Scanner()("// SPDX-License-Identifier: Apache-2.0 OR MIT\nUnder the Apache License.")
     assert row[1:6] == (1, 10, 10, "apache", "apache,mit") and row[7] == 1.0 and 0.9 < row[6] < 1
