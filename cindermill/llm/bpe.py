@@ -1,7 +1,7 @@
 """Operator 10: byte-pair encoding by per-prefix dynamic programming, and decoding.
 
-For every prefix of a pre-token there is exactly one token that can end its encoding. A suffix automaton of the
-vocabulary gives the tokens that end at each position; the one whose left neighbour (the stored last token of the
+For every prefix of a pre-token there is exactly one token that can end its encoding. An Aho-Corasick automaton
+of the vocabulary (``SuffixAutomaton``; it stands in for a suffix automaton, with the same tokens) gives the tokens that end at each position; the one whose left neighbour (the stored last token of the
 shorter prefix) is *compatible* with it is stored, and back-pointers from the end emit the ids. Two tokens are
 compatible when no merge across their boundary would have fired before the merges that made them. The cost is linear
 in the text, however long a pre-token is.
