@@ -1,8 +1,13 @@
 """Operator 7 [native]: cross-site line dedup by distinct-site spread, with DataFrame functions only.
 
-Each line hash gets a HyperLogLog sketch of the sites it stands on (sketches of tasks merge in the aggregation). Lines
-whose estimate is within a margin of the threshold get an exact distinct count. A line on ``min_sites`` sites or more
-is boilerplate: it stays at its first place in the corpus (smallest document id, then line number) and goes elsewhere.
+1. Places of each line hash are counted (a combined hash aggregate of fixed-width rows). A line on ``min_sites`` sites
+   stands in as many places at least, so only lines with that many go on: an exact filter that leaves few.
+2. Their places are written once. Each line hash gets a HyperLogLog sketch of the sites it stands on (sketches of tasks
+   merge in the aggregation); lines whose estimate is within a margin of the threshold get an exact distinct count.
+3. A line on ``min_sites`` sites or more is boilerplate: it stays at its first place in the corpus (smallest document
+   id, then line number) and goes elsewhere.
+
+Lines are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -18,39 +23,45 @@ MIN_SITES = 10
 LG_K = 12
 #: A line of more words than this is a passage: it does not recur by chance.
 PASSAGE_WORDS = 50
-#: Repeats from which the hits of a passage are found by broadcast: few passages have so many, and no task gets all rows of one.
-COMMON = 100
+KEY = ["h", "h2"]
 
 
 def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _key_columns() -> list[Column]:
-    line = F.trim(F.col("__line"), F.lit(" \t\r"))
-    return [F.xxhash64(line).alias("h"), F.length(line).alias("w")]
+def _exploded(docs: DataFrame, site: str | None = None) -> DataFrame:
+    """doc, version (hash of the row's text), site, pos and __line of every line."""
+    named = F.col(f"`{site}`").cast("string") if site else F.lit(None).cast("string")
+    # The text is hashed before its lines are dealt out, not once for each of them.
+    whole = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("version"), named.alias("site"), F.col("text").alias("__text"))
+    return whole.select("doc", "version", "site", F.posexplode(_split(F.col("__text"))).alias("pos", "__line"))
 
 
-def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """doc, site, pos, h, w of every line that is not blank."""
-    return _exploded(docs, site).select("doc", "site", "pos", *_key_columns()).filter("w > 0")
+def _keyed(lines: DataFrame) -> DataFrame:
+    """The lines that are not blank, with the hashes of the line without blanks, tabs and carriage returns at its ends."""
+    trimmed = lines.withColumn("__line", F.trim(F.col("__line"), F.lit(" \t\r"))).filter(F.col("__line") != "")
+    return trimmed.select("doc", "version", "site", "pos", F.xxhash64("__line").alias("h"), F.xxhash64(F.lit(1), "__line").alias("h2"))
 
 
-def _exploded(docs: DataFrame, site: str) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("doc"), F.col(f"`{site}`").alias("site"), F.posexplode(_split(F.col("text"))).alias("pos", "__line"))
+def _places(lines: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+    """The places of the wanted lines, written once. Both sides of the join come straight from a shuffle, so a line that stands in very many places is split."""
+    return handover(lines.join(handover(wanted.select(*KEY), f"{label}-lines"), KEY), f"{label}-places")
 
 
-def site_spread(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """h, w, first (document and line number) of the lines on ``min_sites`` sites or more; a null site is none."""
+def _first() -> Column:
+    return F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "pos"))).alias("first")
+
+
+def site_spread(places: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """h, h2, first (document and line number) of the lines on ``min_sites`` sites or more; a null site is none."""
     margin = max(1, math.ceil(4 * 1.04 / math.sqrt(1 << lg_k) * min_sites))
-    lines = _lines(docs, site)
-    sketched = lines.groupBy("h", "w").agg(F.hll_sketch_agg(F.col("site").cast("string"), lg_k).alias("sketch"), F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "pos"))).alias("first"))
-    spread = handover(sketched.select("h", "w", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites - margin), "line-spread")
+    sketched = places.groupBy(*KEY).agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), _first())
+    spread = handover(sketched.select(*KEY, "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites - margin), "line-spread")
     near = spread.filter(F.col("sites") <= min_sites + margin)
-    exact = lines.join(near.select("h", "w"), ["h", "w"], "left_semi").groupBy("h", "w").agg(F.countDistinct("site").alias("exact")).filter(F.col("exact") >= min_sites)
+    exact = places.join(near.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.countDistinct("site").alias("exact")).filter(F.col("exact") >= min_sites)
     sure = spread.filter(F.col("sites") > min_sites + margin)
-    columns = ["h", "w", "first"]
-    return handover(sure.select(*columns).unionByName(near.join(exact, ["h", "w"]).select(*columns)), "line-boilerplate")
+    return handover(sure.select(*KEY, "first").unionByName(near.join(exact, KEY).select(*KEY, "first")), "line-boilerplate")
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -58,10 +69,14 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
     Lines are split at line feeds and compared without blanks, tabs and carriage returns at their ends; blank lines
     stay. Null texts stay null with 0 lines; an empty text is one blank line. Rows with a null doc_id count towards
-    the spread but lose nothing. Repeated rows with one doc_id are treated alike. An empty table gives an empty table.
+    the spread but lose nothing. Repeated rows with one doc_id and text are treated alike; rows that share the id only
+    are not. An empty table gives an empty table.
     """
-    boilerplate = site_spread(docs, site, min_sites, lg_k)
-    return _cut(docs, _lines(docs, site).join(boilerplate, ["h", "w"]).filter(F.col("first").isNull() | (F.struct("doc", "pos") != F.col("first"))))
+    lines = _keyed(_exploded(docs, site))
+    often = lines.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
+    places = _places(lines, often, "line")
+    found = places.join(site_spread(places, min_sites, lg_k), KEY).filter(F.col("first").isNull() | (F.struct("doc", "pos") != F.col("first")))
+    return _cut(docs, found)
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
@@ -69,23 +84,29 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
     Meant for documents among which whole copies are gone: cut before, copies would be left as fragments that no longer match.
     """
-    long = _exploded(docs, "doc_id").filter(F.length("__line") > 2 * PASSAGE_WORDS).filter(F.regexp_count("__line", F.lit(r"[^\x20\x09-\x0D]+")) > PASSAGE_WORDS)
-    passages = long.filter(F.col("doc").isNotNull()).select("doc", "pos", *_key_columns())
-    spread = passages.groupBy("h", "w").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    repeated = handover(spread.filter(F.col("first.doc") != F.col("last")).select("h", "w", "first", "n"), "passages")
-    parts = [F.broadcast(repeated.filter(F.col("n") >= COMMON)), repeated.filter(F.col("n") < COMMON)]
-    common, rare = (passages.join(p, ["h", "w"]).filter(F.struct("doc", "pos") != F.col("first")).select("doc", "pos") for p in parts)
-    return _cut(docs, common.unionByName(rare))
+    long = _exploded(docs).filter(F.length("__line") > 2 * PASSAGE_WORDS).filter(F.regexp_count("__line", F.lit(r"[^\x20\x09-\x0D]+")) > PASSAGE_WORDS)
+    passages = _keyed(long.filter(F.col("doc").isNotNull()))
+    spread = passages.groupBy(*KEY).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    places = _places(passages, spread.filter(F.col("least") != F.col("most")), "passage")
+    firsts = handover(places.groupBy(*KEY).agg(_first()), "passage-firsts")
+    return _cut(docs, places.join(firsts, KEY).filter(F.struct("doc", "pos") != F.col("first")))
+
+
+def _without(lines: Column, cut: Column) -> Column:
+    """``lines`` without the positions in ``cut`` (ascending), joined again: the runs between cuts are sliced, so the cost is linear in both."""
+    n = F.size(lines)
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), cut), F.concat(cut, F.array(n)), lambda a, b: F.slice(lines, a + 2, b - a - 1))
+    return F.array_join(F.flatten(runs), "\n")
 
 
 def _cut(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the lines ``found`` (doc, pos), with n_lines and n_removed."""
-    cuts = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("pos").alias("__cut"))
-    kept = F.filter(_split(F.col("text")), lambda line, i: ~F.array_contains("__cut", i))
-    out = docs.join(cuts, docs["doc_id"] == cuts["__doc"], "left")
-    clean = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    """``docs`` without the lines ``found`` (doc, version, pos), with n_lines and n_removed."""
+    gone = found.filter(F.col("doc").isNotNull()).groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.sort_array(F.collect_set("pos")).alias("__cut"))
+    out = docs.join(gone, (docs["doc_id"] == gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__version"]), "left")
+    # The lines are bound once, by a lambda: a plain reference would split the text again for every run.
+    clean = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.transform(F.array(_split(F.col("text"))), lambda lines: _without(lines, F.col("__cut")))[0])
     counts = {
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(_split(F.col("text")))).cast("long"),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_removed": F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).cast("long"),
     }
     names = [c for c in docs.columns if c.lower() not in counts]

@@ -211,6 +211,20 @@ def test_line_dedup_equals_brute_force(spark, lg_k):
     assert sum(w[3] for w in want) > 100
 
 
+def test_line_dedup_of_long_documents_and_repeated_ids(spark):
+    """A document of 200,000 boilerplate lines, and rows that share an id but not the text."""
+    import time
+
+    shared = [f"shared {i}" for i in range(200_000)]
+    rows = [(i, "\n".join(shared), f"s{i}") for i in range(3)] + [(7, "shared 5\nown", "s1"), (7, "own\nshared 5\n\nshared 5", "s2"), (7, "own", "s2"), (8, " shared 5", "s4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    began = time.time()
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs, min_sites=3).collect())
+    assert time.time() - began < 60
+    gone = lambda i: (i, "", 200_000, 200_000)
+    assert got == Counter([(0, rows[0][1], 200_000, 0), gone(1), gone(2), (7, "own", 2, 1), (7, "own\n", 4, 2), (7, "own", 1, 0), (8, "", 1, 1)])
+
+
 def test_line_dedup_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_dedup.dedup_lines(docs).count() == 0
