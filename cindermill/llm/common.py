@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -114,10 +115,15 @@ class WordHasher:
     """64-bit hashes of the words of a UTF-8 byte string, without a Python object per word.
 
     A word's hash is the sum of ``code[byte] * m**i`` over its bytes, taken as a difference of prefix sums and
-    divided by ``m**start`` (m is odd, so it has an inverse modulo 2**64). ``separators`` is a predicate on byte
-    values; A-Z count as a-z.
+    divided by ``m**start`` (m is odd, so it has an inverse modulo 2**64). Such sums can collide on purpose for very
+    long words only, so words of ``LONG`` bytes or more are hashed by BLAKE2b. The text is read in blocks that end
+    between words, which bounds the memory beside the result. ``is_word_byte`` is a predicate on byte values; A-Z
+    count as a-z.
     """
 
+    BLOCK = 1 << 20
+    LONG = 512
+
     def __init__(self, is_word_byte: Callable[[int], bool]):
         codes = mix(np.arange(256, dtype=np.uint64), 11) | np.uint64(1)
         for upper in range(65, 91):
@@ -126,25 +132,54 @@ class WordHasher:
         self.powers = self.inverses = np.ones(1, dtype=np.uint64)
 
     def _grow(self, n: int) -> None:
-        size = max(n, 1 << 16)
-        step = np.full(size, _MULT, dtype=np.uint64)
-        back = np.full(size, _INV, dtype=np.uint64)
+        step = np.full(n, _MULT, dtype=np.uint64)
+        back = np.full(n, _INV, dtype=np.uint64)
         step[0] = back[0] = 1
         self.powers, self.inverses = np.multiply.accumulate(step), np.multiply.accumulate(back)
 
-    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first byte, byte after the last) of each word."""
+    @staticmethod
+    def _long_word(word: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(word.lower(), digest_size=8).digest(), "little")
+
+    def _word_end(self, data: bytes, at: int) -> int:
+        """The end of the word that goes on at ``at``."""
+        while at < len(data):
+            gaps = np.flatnonzero(self.codes[np.frombuffer(data, np.uint8, min(self.BLOCK, len(data) - at), at)] == 0)
+            if len(gaps):
+                return at + int(gaps[0])
+            at += self.BLOCK
+        return len(data)
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        """The hash of each word."""
         n = len(data)
-        if n > len(self.powers):
-            self._grow(n + n // 2)
-        values = self.codes[np.frombuffer(data, dtype=np.uint8)]
-        inside = np.zeros(n + 2, dtype=bool)
-        inside[1:-1] = values != 0
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * self.powers[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.inverses[starts] if len(starts) else starts.astype(np.uint64)), starts, ends
+        if min(n, self.BLOCK) > len(self.powers):
+            self._grow(min(max(2 * n, 1 << 16), self.BLOCK))
+        out = []
+        at = 0
+        while at < n:
+            values = self.codes[np.frombuffer(data, np.uint8, min(self.BLOCK, n - at), at)]
+            if at + len(values) < n and values[-1]:
+                gaps = np.flatnonzero(values == 0)
+                if not len(gaps):
+                    end = self._word_end(data, at + len(values))
+                    out.append(np.array([self._long_word(data[at:end])], dtype=np.uint64))
+                    at = end
+                    continue
+                values = values[: gaps[-1] + 1]
+            m = len(values)
+            inside = np.zeros(m + 2, dtype=bool)
+            inside[1:-1] = values != 0
+            edges = np.flatnonzero(inside[1:] != inside[:-1])
+            starts, ends = edges[::2], edges[1::2]
+            sums = np.zeros(m + 1, dtype=np.uint64)
+            np.cumsum(values * self.powers[:m], out=sums[1:])
+            hashes = (sums[ends] - sums[starts]) * self.inverses[starts] if len(starts) else np.zeros(0, np.uint64)
+            for k in np.flatnonzero(ends - starts >= self.LONG):
+                hashes[k] = self._long_word(data[at + starts[k] : at + ends[k]])
+            out.append(hashes)
+            at += m
+        return mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def is_space_free(b: int) -> bool:

@@ -32,7 +32,7 @@ _HASHER: list[WordHasher] = []
 def words(text: str | None) -> np.ndarray:
     if not _HASHER:
         _HASHER.append(WordHasher(is_alnum_or_high))
-    return _HASHER[0]((text or "").encode())[0]
+    return _HASHER[0]((text or "").encode())
 
 
 def winnow(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:

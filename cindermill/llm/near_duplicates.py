@@ -32,6 +32,8 @@ from .components import components
 #: Documents of a block, and characters of its texts, at most (a single longer text is a block of its own).
 BLOCK_DOCS = 500
 BLOCK_CHARS = 8_000_000
+#: Features whose values are summed at a time.
+CHUNK = 1 << 20
 #: Spare partitions, as a share of those needed.
 SPARE = 0.15
 
@@ -47,7 +49,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text of fewer words is one shingle, one without words has none."""
     if not _HASHER:
         _HASHER.append(WordHasher(is_space_free))
-    hashes = _HASHER[0]((text or "").encode())[0]
+    hashes = _HASHER[0]((text or "").encode())
     if len(hashes) < words:
         return mix(rolling(hashes, len(hashes)), 97) if len(hashes) else hashes
     return np.unique(rolling(hashes, words))
@@ -80,13 +82,12 @@ class Scheme:
         cells = n1 * self.n2
         cell = (mix(items, 1000 + 2 * group + domain) % np.uint64(cells)).astype(np.int64)
         value = mix(items, 7)
-        if len(items) < 1 << 20:
-            low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
-            high = np.bincount(cell, (value >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
-            total = low + high * np.uint64(0xC2B2AE3D27D4EB4F)
-        else:
-            total = np.zeros(cells, np.uint64)
-            np.add.at(total, cell, value)
+        low, high = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
+        for at in range(0, len(items), CHUNK):  # so few halves of 32 bits have an exact sum in a double
+            part = slice(at, at + CHUNK)
+            low += np.bincount(cell[part], (value[part] & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
+            high += np.bincount(cell[part], (value[part] >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
+        total = low + high * np.uint64(0xC2B2AE3D27D4EB4F)
         content = mix(total + mix(np.arange(cells, dtype=np.uint64), 5)).reshape(n1, self.n2)
         filled = (np.bincount(cell, minlength=cells) > 0).reshape(n1, self.n2)
         sums = np.stack([content[:, s].sum(axis=1, dtype=np.uint64) for s in self.subsets])

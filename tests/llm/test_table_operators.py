@@ -103,6 +103,34 @@ def test_similar_sets_share_a_signature():
                     assert len(np.intersect1d(scheme.signatures(a, frequent), scheme.signatures(b, frequent))), (num, n2, k2, n, share)
 
 
+def test_similar_sets_of_over_a_million_features_share_signatures():
+    """Sets on either side of 2**20 features share as many signatures as sets on one side."""
+    items = near_duplicates.mix(np.arange(1_049_076, dtype=np.uint64))
+    scheme = near_duplicates.Scheme(90, 100, 2, 1)
+    for n in (1_048_076, 1_048_576, 1_049_000):
+        assert len(np.intersect1d(scheme.signatures(np.sort(items[:n])), scheme.signatures(np.sort(items)))) > 200_000
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("aBcé") for _ in range(rng.choice([1, 5, 60, 700]))) for _ in range(300)]
+    data = "".join(w + rng.choice([" ", "\n\t "]) for w in words).encode() + b"end" * 400
+    hasher = near_duplicates.WordHasher(near_duplicates.is_space_free)
+    whole = hasher(data)
+    assert len(whole) == 301 and len(set(whole.tolist())) == len({w.lower() if w.isascii() else w.translate({66: "b"}) for w in words}) + 1
+    for block in (512, 700, 4096):
+        monkeypatch.setattr(near_duplicates.WordHasher, "BLOCK", block)
+        assert np.array_equal(near_duplicates.WordHasher(near_duplicates.is_space_free)(data), whole)
+
+
+def test_word_hashes_of_a_long_text_need_little_memory():
+    import subprocess
+    import sys
+
+    code = "import resource as r; from cindermill.llm.near_duplicates import shingles; t = 'some words of text ' * 2_600_000; a = r.getrusage(0).ru_maxrss; shingles(t, 3); print((r.getrusage(0).ru_maxrss - a) // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=corpus_pipeline.__file__.rpartition("/")[0]).stdout) < 600
+
+
 def test_spanning_links_equal_brute_force():
     rng = random.Random(11)
     for _ in range(30):
