@@ -1,7 +1,7 @@
 """Operator 1: main text of web pages by composite text density.
 
 A page is read into a tree; every node gets its characters per tag, adjusted by how much of them is link text
-(composite text density). A node's density sum adds its children's densities. The sparsest node on the way from the
+(composite text density). A node's density sum adds its children's densities (a paragraph's is its own density). The sparsest node on the way from the
 body to the subtree with the largest density sum sets a threshold. From the body down, each node at least that dense
 has the subtree of the largest sum at or below it marked; the marked subtrees in page order are the main text.
 Parts that a page itself marks as something else (navigation, adverts, forms, comments...) are cut before.
@@ -125,48 +125,59 @@ def parse(source: str) -> Page:
     return page
 
 
-def densities(page: Page, cut: list[bool]) -> tuple[list[float], list[float], list[float]]:
-    """Composite text density, density sum and characters outside links per tag of every node; cut parts count for nothing."""
-    n = len(page.names)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
-    for i in range(1, n):
-        in_link[i] = page.names[i] == "a" or in_link[page.parents[i]]
-    for node, text in page.items:
-        if text and not cut[node]:
-            k = len("".join(text.split()))
-            chars[node] += k
-            if in_link[node]:
-                link_chars[node] += k
-    for i in range(n - 1, 0, -1):
-        p = page.parents[i]
-        if not cut[i]:
-            chars[p] += chars[i]
-            link_chars[p] += link_chars[i]
-            tags[p] += tags[i] + 1
-            link_tags[p] += link_tags[i] + (page.names[i] == "a")
-    share = link_chars[0] / max(chars[0], 1)
-    density, total, plain = [0.0] * n, [0.0] * n, [0.0] * n
-    for i in range(n - 1, -1, -1):
-        c, t, lc, lt = chars[i], max(tags[i], 1), max(link_chars[i], 1), max(link_tags[i], 1)
-        if c and not cut[i]:
-            plain[i] = (c - link_chars[i]) / t
-            base = math.log(c / max(c - link_chars[i], 1) * link_chars[i] + share * c + math.e)
-            density[i] = c / t * max(math.log(c / lc * t / lt) / max(math.log(base), 1.0), 1e-6)
-        if i:
-            total[page.parents[i]] += density[i]
-    return density, total, plain
+class Measures:
+    """Of every node of a page: composite text density, density sum, characters outside links per tag, and whether blocks stand in it; cut parts count for nothing.
+
+    A node's density is its characters per tag, times a logarithm that falls as link text takes a larger share of it.
+    Its sum adds the densities of its children; of a node without blocks in it (a paragraph and all inline parts),
+    which the text runs through, the sum is its own density.
+    """
+
+    def __init__(self, page: Page, cut: list[bool]):
+        n = len(page.names)
+        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        in_link = [False] * n
+        for i in range(1, n):
+            in_link[i] = page.names[i] == "a" or in_link[page.parents[i]]
+        for node, text in page.items:
+            if text and not cut[node]:
+                k = len("".join(text.split()))
+                chars[node] += k
+                if in_link[node]:
+                    link_chars[node] += k
+        self.blocks = [False] * n
+        for i in range(n - 1, 0, -1):
+            p = page.parents[i]
+            if not cut[i]:
+                chars[p] += chars[i]
+                link_chars[p] += link_chars[i]
+                tags[p] += tags[i] + 1
+                link_tags[p] += link_tags[i] + (page.names[i] == "a")
+                self.blocks[p] |= self.blocks[i] or (page.names[i] in BLOCKS and page.names[i] not in ("br", "hr") and chars[i] > 0)
+        share = link_chars[0] / max(chars[0], 1)
+        self.density, self.plain, sums = [0.0] * n, [0.0] * n, [0.0] * n
+        for i in range(n - 1, -1, -1):
+            c, t, lc, lt = chars[i], max(tags[i], 1), max(link_chars[i], 1), max(link_tags[i], 1)
+            if c and not cut[i]:
+                self.plain[i] = (c - link_chars[i]) / t
+                base = math.log(c / max(c - link_chars[i], 1) * link_chars[i] + share * c + math.e)
+                self.density[i] = c / t * max(math.log(c / lc * t / lt) / max(math.log(base), 1.0), 1e-6)
+            if i:
+                sums[page.parents[i]] += self.density[i]
+        self.total = [sums[i] if self.blocks[i] else self.density[i] for i in range(n)]
 
 
 def choose(page: Page) -> list[int]:
     """The nodes whose subtrees hold the main text, in page order; none if the page has none."""
     n = len(page.names)
-    density, total, plain = densities(page, page.cut)
+    own = Measures(page, page.cut)
+    density, total, plain, blocks = own.density, own.total, own.plain, own.blocks
     live = [i for i in range(n) if not page.cut[i] and density[i] > 0]
     if not live:
         return []
-    total = [total[i] or density[i] for i in range(n)]
-    best = max(live, key=lambda i: (total[i], -i))
+    # The parts of a paragraph are no subtrees of their own: a bold part of it would always be the denser one.
+    whole = [i for i in live if not i or blocks[page.parents[i]]]
+    best = max(whole, key=lambda i: (total[i], -i))
     path = []
     at = best
     while at >= 0:
@@ -176,18 +187,17 @@ def choose(page: Page) -> list[int]:
     top, path = path[body], path[: body + 1]
     # The threshold is that of the page as it stands, cut parts and all: without them a body is hardly sparser than its text.
     # As composite density grows with the size of a part, one with as many characters outside links per tag passes too.
-    around, _, plain_around = densities(page, [name in RAW for name in page.names])
-    floor = min(min(density[i], around[i]) for i in path if density[i] > 0)
-    plain_floor = min(min(plain[i], plain_around[i]) for i in path if density[i] > 0)
+    around = Measures(page, [name in RAW for name in page.names])
+    floor = min(min(density[i], around.density[i]) for i in path if density[i] > 0)
+    plain_floor = min(min(plain[i], around.plain[i]) for i in path if density[i] > 0)
     dense = [density[i] >= floor or plain[i] >= plain_floor > 0 for i in range(n)]
-    # The densest subtree at or below each node, and whether blocks stand in it.
-    peak, blocks = list(range(n)), [False] * n
-    for i in reversed(live):
+    # The subtree of the largest sum at or below each node.
+    peak = list(range(n))
+    for i in reversed(whole):
         p = page.parents[i]
         if i and (total[peak[i]], -peak[i]) > (total[peak[p]], -peak[p]):
             peak[p] = peak[i]
-        blocks[p] |= i > 0 and (blocks[i] or page.names[i] in BLOCKS)
-    # From the body on, each node that is dense enough has its densest subtree marked; a paragraph is marked whole.
+    # From the body on, each node that is dense enough has that subtree marked; a paragraph is marked whole.
     reached, marked = [False] * n, [False] * n
     for i in live:
         p = page.parents[i]
@@ -195,30 +205,10 @@ def choose(page: Page) -> list[int]:
             marked[i] = True
         elif not marked[i] and (i == top or i > top and reached[p]) and dense[i]:
             reached[i] = True
-            marked[peak[i] if blocks[i] else i] = True
-    # Landmarks set the borders of the article: a dense part of one stands for all of it, and a node around the only one for that one.
-    touched = marked[:]
-    for i in reversed(live):
-        if i and touched[i]:
-            touched[page.parents[i]] = True
-    up, at = -1, best
-    while at > 0:
-        if page.names[at] == "article" or (page.names[at] == "main" and up < 0):
-            up = at
-        at = page.parents[at]
-    for name in ("article", "main"):
-        found = [i for i in live if page.names[i] == name]
-        if page.names[up] == name if up >= 0 else sum(_within(page, i, best) for i in found) == 1:
-            return [i for i in found if touched[i]]
+            marked[peak[i]] = True
     return [i for i in live if marked[i] and not (i and marked[page.parents[i]])]
 
 
-def _within(page: Page, node: int, top: int) -> bool:
-    while node >= 0 and node != top:
-        node = page.parents[node]
-    return node == top
-
-
 def main_text(source: str | None) -> str:
     """Main text of a page: character references decoded, blocks in page order, runs of white space as one space."""
     page = parse(source or "")

@@ -74,10 +74,109 @@ def test_marked_paragraph_stays_whole():
     assert html_text.main_text(page) == f"{FIRST} {'around ' * 200}in aaaaaaaa bbbbbbbb and after."
 
 
-def test_article_sets_the_borders():
-    """Dense text beside the one article of a page is not part of it."""
-    page = "<html><body><article>" + "".join(STORY[0]) + "</article><div>" + "".join(STORY[1][:3]) + "</div></body></html>"
-    assert html_text.main_text(page) == FIRST
+def test_tag_names_decide_nothing():
+    """Density alone decides: the article tag neither widens nor narrows the choice."""
+    for tag in ("article", "div", "section", "main"):
+        page = f"<html><body><{tag}>" + "".join(STORY[0]) + f"</{tag}><div>" + "".join(STORY[1][:3]) + "</div><div>" + "<p>x <a href=/y>more</a></p>" * 12 + "</div></body></html>"
+        assert html_text.main_text(page) == f"{FIRST} {' '.join(re.sub('<.*?>', ' ', ''.join(STORY[1][:3])).split())}"
+
+
+BLOCK_TAGS, INLINE_TAGS = ["div", "section", "ul", "p"], ["b", "a", "i"]
+
+
+def random_tree(rng, depth=0):
+    """[tag, children]; a child is a text or a tree. Paragraphs and inline tags hold no blocks."""
+    tag = "body" if depth == 0 else rng.choice(["div", "section", "article", "p", "nav"])
+    inline = lambda d=0: [rng.choice(INLINE_TAGS), [inline(1) if d == 0 and rng.random() < 0.3 else "w" * rng.randint(1, 30)]]
+    if tag == "p" or depth > 3:
+        return ["p", [inline() if rng.random() < 0.4 else "t" * rng.randint(0, 120) for _ in range(rng.randint(1, 4))]]
+    return [tag, [random_tree(rng, depth + 1) for _ in range(rng.randint(1, 4))]]
+
+
+def show_tree(t):
+    return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(show_tree, t[1]))}</{t[0]}>"
+
+
+def chosen_by_hand(root):
+    """The definition of the choice, node by node and recursively, over the node paths of a tree."""
+    import math
+
+    nodes = {}
+    collect = lambda t, path: (nodes.update({path: t}), [collect(c, (*path, i)) for i, c in enumerate(t[1]) if not isinstance(c, str)])
+    collect(root, ())
+    below = lambda p: [q for q in nodes if q[: len(p)] == p]
+    is_cut = lambda p: any(nodes[p[:k]][0] == "nav" for k in range(len(p) + 1))
+    in_link = lambda p: any(nodes[p[:k]][0] == "a" for k in range(len(p) + 1))
+
+    def measure(gone):
+        chars = lambda p, link: sum(len(c) for q in below(p) if not gone(q) and (in_link(q) or not link) for c in nodes[q][1] if isinstance(c, str))
+        share = chars((), True) / max(chars((), False), 1)
+        density, plain = {}, {}
+        for p in nodes:
+            kids = [q for q in below(p) if q != p and not gone(q)]
+            c, lc = chars(p, False), chars(p, True)
+            t, lt = max(len(kids), 1), max(sum(nodes[q][0] == "a" for q in kids), 1)
+            density[p] = plain[p] = 0.0
+            if c and not gone(p):
+                plain[p] = (c - lc) / t
+                base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+                density[p] = c / t * max(math.log(c / max(lc, 1) * t / lt) / max(math.log(base), 1.0), 1e-6)
+        return density, plain, chars
+
+    density, plain, chars = measure(is_cut)
+    around, plain_around, _ = measure(lambda p: False)
+    has_blocks = {p: any(q != p and not is_cut(q) and nodes[q][0] not in INLINE_TAGS and chars(q, False) for q in below(p)) for p in nodes}
+    total = {p: sum(density[q] for q in nodes if len(q) == len(p) + 1 and q[: len(p)] == p) if has_blocks[p] else density[p] for p in nodes}
+    order = list(nodes)
+    live = [p for p in order if density[p] > 0]
+    whole = [p for p in live if p == () or has_blocks[p[:-1]]]
+    if not live:
+        return []
+    best = max(whole, key=lambda p: (total[p], -order.index(p)))
+    path = [best[:k] for k in range(len(best) + 1)]
+    floor = min(min(density[p], around[p]) for p in path)
+    plain_floor = min(min(plain[p], plain_around[p]) for p in path)
+    dense = lambda p: density[p] >= floor or plain[p] >= plain_floor > 0
+    marked = set()
+
+    def walk(p):
+        if any(p[:k] in marked for k in range(len(p) + 1)) or not dense(p):
+            return
+        marked.add(max((q for q in whole if q[: len(p)] == p), key=lambda q: (total[q], -order.index(q))) if p in whole else p)
+        for q in live:
+            if len(q) == len(p) + 1 and q[: len(p)] == p:
+                walk(q)
+
+    walk(())
+    return [order.index(p) for p in live if any(p[:k] in marked for k in range(len(p) + 1))]
+
+
+def test_choice_equals_brute_force_on_random_trees():
+    rng = random.Random(21)
+    kept = 0
+    for _ in range(400):
+        tree = random_tree(rng)
+        page = html_text.parse(show_tree(tree))
+        assert page.names[1] == "body"
+        inside = set()
+        for i in html_text.choose(page):
+            inside.add(i)
+        for i in range(1, len(page.names)):
+            if page.parents[i] in inside and not page.cut[i]:
+                inside.add(i)
+        own = html_text.Measures(page, page.cut)
+        got = sorted(i - 1 for i in inside if own.density[i] > 0 and i)
+        assert got == chosen_by_hand(tree), show_tree(tree)
+        kept += 0 < len(got) < sum(d > 0 for d in own.density[1:])
+    assert kept > 50
+
+
+def test_pages_without_landmarks(sf_dir):
+    """The same text comes out where the pages' article tags are plain divisions."""
+    import pyarrow.parquet as pq
+
+    for html in pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist():
+        assert html_text.main_text(html) == html_text.main_text(html.replace("<article>", "<div>").replace("</article>", "</div>"))
 
 
 def test_page_query(spark, sf_dir):
