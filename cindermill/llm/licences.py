@@ -67,7 +67,9 @@ def to_postfix(text: str) -> list[str] | None:
     """Shunting-yard: the longest well-formed licence expression at the start of ``text`` in postfix order; None if there is none."""
     out: list[str] = []
     stack: list[str] = []
-    depth, want_operand, good = 0, True, None
+    depth, want_operand = 0, True
+    # The last point at which the expression was complete: the output's length and the operators that waited (three at most).
+    good: tuple[int, list[str]] | None = None
     at = 0
     while m := _EXPRESSION.match(text, at):
         word, at = m.group(1), m.end()
@@ -97,24 +99,27 @@ def to_postfix(text: str) -> list[str] | None:
             out.append(word.rstrip(".-"))
             want_operand = False
         if not want_operand and not depth:
-            good = out + stack[::-1]
-    return good
+            good = len(out), stack[::-1]
+    return out[: good[0]] + good[1] if good else None
 
 
 def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
     """(permissiveness, labels): ``or`` lets the user choose the freer side, ``and`` binds to the stricter, ``with`` frees its left side a little. Licences that are not known count 0.5."""
-    stack: list[tuple[float, list[str]]] = []
+    # Of each operand its value, and where its labels begin; they go on to the last.
+    stack: list[tuple[float, int]] = []
+    labels: list[str] = []
     for item in postfix:
         if item not in _PRIORITY:
-            label = family(item)
-            stack.append((PERMISSIVENESS.get(label, 0.5), [label]))
+            stack.append((PERMISSIVENESS.get(label := family(item), 0.5), len(labels)))
+            labels.append(label)
             continue
-        right, left = stack.pop(), stack.pop()
+        (right, exception), (left, start) = stack.pop(), stack.pop()
         if item == "with":
-            stack.append((min(1.0, left[0] + EXCEPTION_BONUS), left[1]))
+            del labels[exception:]
+            stack.append((min(1.0, left + EXCEPTION_BONUS), start))
         else:
-            stack.append(((max if item == "or" else min)(left[0], right[0]), left[1] + right[1]))
-    return stack[0]
+            stack.append(((max if item == "or" else min)(left, right), start))
+    return stack[0][0], labels
 
 
 class Scanner:
@@ -140,9 +145,7 @@ class Scanner:
                 continue
             if phrase in self.base:
                 start = end - len(phrase) - 1
-                if start < seen_to:
-                    seen_to = seen_words = 0
-                seen_words += line.count(" ", seen_to, start)
+                seen_words += line.count(" ", seen_to, start) - line.count(" ", start, seen_to)
                 seen_to = start
                 places.append(seen_words)
                 base.add(self.base[phrase])
@@ -199,7 +202,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, extra: dict[str, str] = N
     n_words, n_base (all places of base phrases, overlapping ones too), first_word, last_word (null without a place),
     base_labels, labels (sorted, joined by commas; empty without any), score (0 without evidence), permissiveness (of
     the strictest expression, or else of the labels; null without any), expressions (postfix, joined by "; "). Null
-    and empty texts have no words; rows are independent, so repeated rows stay; other columns are ignored.
+    and empty texts have no words; rows are independent, so repeated rows stay; other columns are ignored, and a kept
+    column that has the name of a result gives way to it.
     """
     return map_rows(docs, _Scan(base, extra), FIELDS, list(keep), ["text"])
 
