@@ -13,6 +13,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -43,15 +44,20 @@ def _uri(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "about:blank")
 
 
+def _id(value: str) -> str:
+    """An id as a header has it: percent-encoded, so that no sign of it ends the line."""
+    return quote(value, safe=":/@+,;=")
+
+
 def build_record(page_id: str | None, url: str | None, payload: bytes, first: str | None, date: str = DATE) -> bytes:
     """A WARC/1.1 response record, or a revisit record of page ``first`` (HTTP headers only)."""
     digest = base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url)}"]
     if page_id is not None:
-        head.append(f"Page-ID: {page_id}")
+        head.append(f"Page-ID: {_id(page_id)}")
     if first is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{first} {digest}')}>", f"Refers-To-Page-ID: {first}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{first} {digest}')}>", f"Refers-To-Page-ID: {_id(first)}"]
     block = http if first is not None else http + payload
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
@@ -66,9 +72,10 @@ def read_record(record: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    page_id, refers_to = (None if fields.get(k) is None else unquote(fields[k]) for k in ("Page-ID", "Refers-To-Page-ID"))
     if fields["WARC-Type"] == "response" and (len(payload) != size or base32_sha1(payload) != digest):
-        raise ValueError(f"the payload of page {fields.get('Page-ID')} does not match its digest")
-    return {"type": fields["WARC-Type"], "page_id": fields.get("Page-ID"), "url": fields["WARC-Target-URI"], "size": size, "digest": digest, "refers_to": fields.get("Refers-To-Page-ID"), "payload": payload if fields["WARC-Type"] == "response" else None}
+        raise ValueError(f"the payload of page {page_id} does not match its digest")
+    return {"type": fields["WARC-Type"], "page_id": page_id, "url": fields["WARC-Target-URI"], "size": size, "digest": digest, "refers_to": refers_to, "payload": payload if fields["WARC-Type"] == "response" else None}
 
 
 def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
@@ -165,7 +172,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write all pages as archives under ``path``.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, that with the smallest page_id is the response and
-    the others revisit it. A null html is an empty payload. Repeated rows of the smallest page_id are responses each;
+    the others revisit it. A null html is an empty payload. Ids may hold any signs. Repeated rows of the smallest page_id are responses each;
     pages with a null page_id are responses. Columns besides page_id, url and html are ignored.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
