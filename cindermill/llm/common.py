@@ -6,7 +6,7 @@ import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +59,18 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def not_replaced(keep: Sequence[str], names: Sequence[str]) -> list[str]:
+    """The columns of ``keep`` that no name in ``names`` equals (case does not count)."""
+    gone = {n.lower() for n in names}
+    return [c for c in keep if c.lower() not in gone]
+
+
 def map_rows(df: DataFrame, per_row: Callable, fields: list[T.StructField], keep: list[str], use: list[str]) -> DataFrame:
-    """Apply ``per_row(*values of use) -> tuple`` to each row in Arrow batches; ``keep`` columns pass through untouched.
+    """Apply ``per_row(*values of use) -> tuple`` to each row in Arrow batches; ``keep`` columns pass through untouched, but one with the name of a new field gives way to it.
 
     ``per_row`` may be a factory marked with ``.factory = True``; it is then called once per task.
     """
+    keep = not_replaced(keep, [f.name for f in fields])
     cols = list(dict.fromkeys([*keep, *use]))
     slim = df.select(*[F.col(f"`{c}`") for c in cols])
     schema = T.StructType([slim.schema[c] for c in keep] + fields)

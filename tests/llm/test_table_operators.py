@@ -180,6 +180,17 @@ def test_archives_round_trip(spark):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_ids_of_any_signs(spark):
+    from cindermill.llm.common import shared_path
+
+    ids = ["a\r\nPage-ID: b", "", " ", "x: y", "é%0D", "a%0D%0Ab", "\x00", "same", "zz"]
+    pages = spark.createDataFrame([(i, "u", "same" if k > 4 else f"t{k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    path = shared_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    got = {r.page_id: r.refers_to for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: "\x00" if k > 4 and i != "\x00" else None for k, i in enumerate(ids)}
+
+
 def test_small_payloads_may_all_be_kept(spark):
     from cindermill.llm.common import shared_path
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -338,6 +339,15 @@ def test_every_tag_of_a_line_is_evaluated(text, want):
     assert licences.Scanner()(text)[-1] == want
 
 
+def test_very_long_expressions_take_linear_time():
+    began = time.time()
+    text = "SPDX-License-Identifier: " + " OR ".join(["MIT", "(GPL-2.0 WITH (X AND Y))", "ISC"] * 40_000)
+    row = licences.Scanner()(text)
+    assert time.time() - began < 20 and row[5] == "gpl,isc,mit" and row[7] == 1.0
+    assert len(licences.Scanner()("license identifier: (" * 30_000)) == 9
+    assert licences.Scanner()("SPDX-License-Identifier: MIT\n" * 50_000 + "mit license " * 50_000)[1:4] == (50_000, 200_000, 299_998)
+
+
 def test_licence_tags_and_odd_rows(spark):
     row = licences.Scanner()("// SPDX-License-Identifier: Apache-2.0 OR MIT\nUnder the Apache License.")
     assert row[1:6] == (1, 10, 10, "apache", "apache,mit") and row[7] == 1.0 and 0.9 < row[6] < 1
@@ -385,6 +395,19 @@ def test_contamination_equals_brute_force(spark, limit_mb):
     assert left.columns == docs.columns and left.count() == sum(not w[-1] for w in want)
 
 
+@pytest.mark.parametrize("limit_mb", [32, 0])
+def test_contamination_of_long_and_hot_texts(spark, limit_mb):
+    """A million equal words against an item of 200 of them, a hot text, and ids and texts that are null in turn."""
+    long = "a " * 1_000_000
+    docs = spark.createDataFrame([(1, long), *[(i, "b " * 12) for i in range(2, 60)], (99, "b " * 9)], "doc_id long, text string").withColumns({"contaminated": F.lit("c"), "N_WORDS": F.lit(1)})
+    items = spark.createDataFrame([("x", "a " * 200), ("y", "b " * 300), ("y2", "b " * 10), (None, "x"), ("x", None), ("z", "c " * 10)], "item_id string, text string")
+    out = decontaminate.contamination(docs, items, limit_mb=limit_mb, keep=("doc_id", "contaminated", "N_WORDS"))
+    assert out.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    digest = lambda names: hashlib.sha256(names.encode()).hexdigest()
+    want = [(1, 1_000_000, 1_000_000, 1, digest("x"), True), *[(i, 12, 12, 2, digest("y,y2"), True) for i in range(2, 60)], (99, 9, 0, 0, digest(""), False)]
+    assert sorted(map(tuple, out.collect())) == want
+
+
 def test_winnowing_keeps_a_print_of_every_window():
     rng = np.random.default_rng(9)
     for _ in range(200):
