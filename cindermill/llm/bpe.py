@@ -1,7 +1,7 @@
 """Operator 10: byte-pair encoding by per-prefix dynamic programming, and decoding.
 
-For every prefix of a pre-token there is exactly one token that can end its encoding. An Aho-Corasick automaton
-of the vocabulary (``SuffixAutomaton``; it stands in for a suffix automaton, with the same tokens) gives the tokens that end at each position; the one whose left neighbour (the stored last token of the
+For every prefix of a pre-token there is exactly one token that can end its encoding. The suffix automaton of the
+vocabulary gives the tokens that end at each position; the one whose left neighbour (the stored last token of the
 shorter prefix) is *compatible* with it is stored, and back-pointers from the end emit the ids. Two tokens are
 compatible when no merge across their boundary would have fired before the merges that made them. The cost is linear
 in the text, however long a pre-token is.
@@ -43,38 +43,86 @@ def _pattern(engine, letters: str, numbers: str):
 
 
 class SuffixAutomaton:
-    """For each position of a text, the vocabulary's tokens that end there, from the longest to the shortest.
+    """The suffix automaton of all tokens: a state stands for the parts of tokens that occur at the same places.
 
-    A state is the longest suffix of the text read so far that begins some token. ``longest`` gives the state's longest
-    token, ``shorter`` leads from a token to the next shorter one that is its suffix. Steps along suffix links are
-    remembered once taken.
+    Reading a text, the state and a length say which is the longest end of what was read that is part of some token.
+    The tokens among the ends of a state are its own (``ends``, longest first) and those of the states along suffix links;
+    ``longest`` is the longest of them, and ``shorter`` leads from a token to the next shorter one that it ends with.
     """
 
     def __init__(self, tokens: dict[bytes, int]):
-        self.known_steps: dict[int, int] = {}
-        self.link = [0]
-        self.longest = [-1]
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        for raw in tokens:
+            last = 0
+            for byte in raw:
+                last = self._extend(last, byte)
         self.width = {i: len(raw) for raw, i in tokens.items()}
+        self.ends: dict[int, list[int]] = {}
+        for raw, i in sorted(tokens.items(), key=lambda x: -len(x[0])):
+            state = 0
+            for byte in raw:
+                state = self.next[state][byte]
+            self.ends.setdefault(state, []).append(i)
+        self.longest = [-1] * len(self.link)
         self.shorter: dict[int, int] = {}
-        nodes = {b"": 0}
-        for raw in sorted({raw[:k] for raw in tokens for k in range(1, len(raw) + 1)}, key=lambda x: (len(x), x)):
-            parent, byte = nodes[raw[:-1]], raw[-1]
-            nodes[raw] = node = len(self.link)
-            link = self.step(self.link[parent] << 8 | byte) if parent else 0
-            self.link.append(link)
-            token = tokens.get(raw, -1)
-            if token >= 0:
-                self.shorter[token] = self.longest[link]
-            self.longest.append(token if token >= 0 else self.longest[link])
-            self.known_steps[parent << 8 | byte] = node
-
-    def step(self, key: int) -> int:
-        found = self.known_steps.get(key)
-        if found is None:
-            state, byte = key >> 8, key & 255
-            found = self.step(self.link[state] << 8 | byte) if state else 0
-            self.known_steps[key] = found
-        return found
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            below = self.longest[self.link[state]]
+            chain = [*self.ends.get(state, []), below]
+            self.longest[state] = chain[0]
+            self.shorter.update(zip(chain, chain[1:], strict=False))
+
+    def _copy(self, state: int, length: int) -> int:
+        """Split off from ``state`` its strings of at most ``length`` signs."""
+        self.next.append(dict(self.next[state]))
+        self.link.append(self.link[state])
+        self.length.append(length)
+        self.link[state] = len(self.link) - 1
+        return self.link[state]
+
+    def _target(self, state: int, byte: int) -> int:
+        """Where ``byte`` leads from ``state``, split if that holds longer strings than one more sign makes."""
+        old = self.next[state][byte]
+        if self.length[old] == self.length[state] + 1:
+            return old
+        new = self._copy(old, self.length[state] + 1)
+        while state >= 0 and self.next[state].get(byte) == old:
+            self.next[state][byte] = new
+            state = self.link[state]
+        return new
+
+    def _extend(self, last: int, byte: int) -> int:
+        if byte in self.next[last]:
+            return self._target(last, byte)
+        new = len(self.link)
+        self.next.append({})
+        self.link.append(0)
+        self.length.append(self.length[last] + 1)
+        while last >= 0 and byte not in self.next[last]:
+            self.next[last][byte] = new
+            last = self.link[last]
+        if last >= 0:
+            self.link[new] = self._target(last, byte)
+        return new
+
+    def matches(self, raw: bytes) -> list[int]:
+        """The longest token that ends at each byte (-1 if none does)."""
+        steps, link, length, longest, ends, width = self.next, self.link, self.length, self.longest, self.ends, self.width
+        state = held = 0
+        out = []
+        for byte in raw:
+            while byte not in steps[state] and state:
+                state = link[state]
+                held = length[state]
+            if byte in steps[state]:
+                state = steps[state][byte]
+                held += 1
+            token = longest[state]
+            if held < length[state] and state in ends:
+                # Of the state's own tokens only those count that are no longer than what was read.
+                token = next((t for t in ends[state] if width[t] <= held), longest[link[state]])
+            out.append(token)
+        return out
 
 
 class PrefixBpe:
@@ -146,16 +194,9 @@ class PrefixBpe:
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
-        known, step = self.suffixes.known_steps, self.suffixes.step
-        longest, shorter, width = self.suffixes.longest, self.suffixes.shorter, self.suffixes.width
-        compatible = self.compatible
+        shorter, width, compatible = self.suffixes.shorter, self.suffixes.width, self.compatible
         last = [-1]
-        state = end = 0
-        for byte in raw:
-            end += 1
-            key = state << 8 | byte
-            state = known[key] if key in known else step(key)
-            token = longest[state]
+        for end, token in enumerate(self.suffixes.matches(raw), 1):
             while True:
                 start = end - width[token]
                 if not start:
@@ -170,6 +211,7 @@ class PrefixBpe:
                     break
                 token = shorter[token]
             last.append(token)
+        end = len(raw)
         out = []
         while end:
             out.append(last[end])
