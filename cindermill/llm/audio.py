@@ -2,8 +2,10 @@
 
 A payload is stored losslessly as 8-bit mono PCM in a WAV container. The stored bytes are read back, resampled by a
 polyphase filter with integer taps (exact sums), cut into overlapping frames, and turned into log-mel energies; a
-two-threshold (hysteresis) rule on frame energy marks segments. Log-mel windows have a fixed shape and a time span.
-Each row is computed alone, so equal payloads give equal values.
+two-threshold (hysteresis) rule on frame energy marks segments. The frames are stored as Arrow tensors of a fixed shape
+with time spans: a row's ``tensors`` column is an Arrow stream with one record per window of ``WINDOW_FRAMES`` frames
+(start_ms, end_ms, n_frames, log_mel in whole decibels, voiced marks). The feature text is computed from the tensors read
+back. Each row is computed alone, so equal payloads give equal values.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, shared_path, table
+from .common import drop_path, map_rows, not_replaced, shared_path, table
 
 UNIT = 192
 RATE = 16_000
@@ -135,22 +137,62 @@ def _encode(text: str | None) -> tuple[int, bytes]:
 
 
 def store_audio(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, n_bytes (of the text's UTF-8) and media (a WAV file). A null text counts as empty and gives one unit of padding; repeated rows stay; other columns are ignored."""
+    """``keep`` columns, n_bytes (of the text's UTF-8) and media (a WAV file). A null text counts as empty and gives one unit of padding; repeated rows stay; other columns are ignored, and kept ones that have the name of a result give way to it."""
     return map_rows(docs, _encode, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], list(keep), ["text"])
 
 
-def _windows(media: bytes) -> tuple[list[dict]]:
+#: Types of the stored tensors: whole decibels of each frame and filter, and whether a frame is inside a segment.
+LOG_MEL = pa.fixed_shape_tensor(pa.int8(), [WINDOW_FRAMES, MELS], dim_names=["frame", "mel"])
+VOICED = pa.fixed_shape_tensor(pa.int8(), [WINDOW_FRAMES], dim_names=["frame"])
+QUIET = FLOOR_DB - 60
+
+
+def to_tensors(media: bytes) -> bytes:
+    """The windows of a stored file as an Arrow stream; frames that a last window lacks are silence."""
     mel, segments, hop = features(media)
-    voiced = np.zeros(len(mel), dtype=bool)
+    n = len(mel)
+    count = -(-n // WINDOW_FRAMES)
+    steps = np.full((count * WINDOW_FRAMES, MELS), QUIET, dtype=np.int8)
+    steps[:n] = np.clip(np.rint(mel), -128, 127)
+    voiced = np.zeros(count * WINDOW_FRAMES, dtype=np.int8)
     for a, b in segments:
-        voiced[a:b] = True
-    out = []
-    for at in range(0, len(mel), WINDOW_FRAMES):
-        part = mel[at : at + WINDOW_FRAMES].astype(np.float32)
-        tensor = np.full((WINDOW_FRAMES, MELS), FLOOR_DB * 1.0 - 60.0, dtype=np.float32)
-        tensor[: len(part)] = part
-        out.append({"start_ms": round(at * hop * 1000), "end_ms": round((at + len(part)) * hop * 1000), "n_frames": len(part), "voiced_frames": int(voiced[at : at + WINDOW_FRAMES].sum()), "log_mel": tensor.ravel()})
-    return (out,)
+        voiced[a:b] = 1
+    first = np.arange(count) * WINDOW_FRAMES
+    frames = np.minimum(n - first, WINDOW_FRAMES)
+    spans = [pa.array(np.rint(at * hop * 1000).astype(np.int64)) for at in (first, first + frames)]
+    tensors = [pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.size // count)) for kind, v in ((LOG_MEL, steps), (VOICED, voiced))]
+    schema = pa.schema([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("n_frames", pa.int32()), ("log_mel", LOG_MEL), ("voiced", VOICED)], {"hop_ms": f"{hop * 1000:g}"})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, schema) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([*spans, pa.array(frames, pa.int32()), *tensors], schema=schema))
+    return out.getvalue().to_pybytes()
+
+
+def from_tensors(stored: bytes) -> pa.RecordBatch:
+    """The windows of a row, with their tensor columns."""
+    return pa.ipc.open_stream(stored).read_next_batch()
+
+
+def feature_text(stored: bytes | None) -> tuple[str | None]:
+    """Frames, segments, voiced frames, mean spectrum and a checksum of all steps, from stored tensors."""
+    if stored is None:
+        return (None,)
+    windows = from_tensors(stored)
+    n = sum(windows.column("n_frames").to_pylist())
+    steps = windows.column("log_mel").to_numpy_ndarray().reshape(-1, MELS)[:n].astype(np.int16)
+    voiced = windows.column("voiced").to_numpy_ndarray().reshape(-1)[:n]
+    segments = int((np.diff(np.concatenate([[0], voiced])) == 1).sum())
+    mean = np.rint(steps.mean(axis=0)).astype(int)
+    return (f"frames={n};segments={segments};voiced={int(voiced.sum())};hop_ms={windows.schema.metadata[b'hop_ms'].decode()};mel={','.join(map(str, mean))};crc={zlib.crc32(steps.tobytes()):08x}",)
+
+
+def _windows(media: bytes | None) -> tuple[list[dict] | None]:
+    if media is None:
+        return (None,)
+    windows = from_tensors(to_tensors(media))
+    mel, voiced = windows.column("log_mel").to_numpy_ndarray(), windows.column("voiced").to_numpy_ndarray()
+    plain = windows.select(["start_ms", "end_ms", "n_frames"]).to_pylist()
+    return ([w | {"voiced_frames": int(v.sum()), "log_mel": m.ravel().astype(np.float32)} for w, m, v in zip(plain, mel, voiced, strict=True)],)
 
 
 WINDOW_TYPE = T.StructType(
@@ -165,9 +207,10 @@ WINDOW_TYPE = T.StructType(
 
 
 def log_mel_windows(stored: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per window of ``WINDOW_FRAMES`` frames: ``keep`` columns, start_ms, end_ms, n_frames, voiced_frames and log_mel, always WINDOW_FRAMES x MELS values, row by row (see ``as_tensors``)."""
+    """One row per window of ``WINDOW_FRAMES`` frames: ``keep`` columns, start_ms, end_ms, n_frames, voiced_frames and log_mel, always WINDOW_FRAMES x MELS values, row by row (see ``as_tensors``). A null media has no windows; repeated rows have theirs each."""
     rows = map_rows(stored, _windows, [T.StructField("windows", T.ArrayType(WINDOW_TYPE))], list(keep), ["media"])
-    return rows.select(*keep, F.explode("windows").alias("w")).select(*keep, "w.*")
+    names = not_replaced(keep, ["windows", *WINDOW_TYPE.names])
+    return rows.select(*names, F.explode("windows").alias("w")).select(*names, "w.*")
 
 
 def as_tensors(column: pa.Array) -> pa.FixedShapeTensorArray:
@@ -177,31 +220,37 @@ def as_tensors(column: pa.Array) -> pa.FixedShapeTensorArray:
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.flatten(), WINDOW_FRAMES * MELS))
 
 
-def _digest(media: bytes) -> tuple:
+def _facts(media: bytes | None) -> tuple:
+    if media is None:
+        return (None,) * 6
     payload, _ = from_wav(media)
-    mel, segments, hop = features(media)
-    steps = np.rint(mel).astype(np.int16)
-    mean = np.rint(steps.mean(axis=0)).astype(int)
-    text = f"frames={len(mel)};segments={len(segments)};voiced={sum(b - a for a, b in segments)};hop_ms={hop * 1000:g};mel={','.join(map(str, mean))};crc={zlib.crc32(steps.tobytes()):08x}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), text
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), to_tensors(media)
 
 
-DIGEST_FIELDS = [
+FACT_FIELDS = [
     T.StructField("payload_bytes", T.LongType()),
     T.StructField("payload_sha256", T.StringType()),
     T.StructField("tail_crc32", T.LongType()),
     T.StructField("media_bytes", T.LongType()),
     T.StructField("media_sha256", T.StringType()),
-    T.StructField("feature", T.StringType()),
 ]
 
 
-def media_digest(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """Digest columns of stored media, all from the bytes read back."""
-    return map_rows(stored, _digest, DIGEST_FIELDS, list(keep), ["media"])
+def store_features(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """``keep`` columns, digests of the media, and ``tensors``: the log-mel windows as an Arrow stream. A null media gives nulls; repeated rows stay; kept columns that have the name of a result give way to it; an empty table stays empty."""
+    return map_rows(stored, _facts, [*FACT_FIELDS, T.StructField("tensors", T.BinaryType())], list(keep), ["media"])
+
+
+def media_digest(with_features: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """Digest columns of stored media, and the feature text, from what ``store_features`` gave (or, given ``media`` only, from that). Nulls, repeated rows and clashing names as there."""
+    rows = with_features if "tensors" in with_features.columns else store_features(with_features, keep)
+    names = [f.name for f in FACT_FIELDS]
+    return map_rows(rows, feature_text, [T.StructField("feature", T.StringType())], [*not_replaced(keep, [*names, "feature"]), *names], ["tensors"])
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "audio")
-    store_audio(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
-    return media_digest(spark.read.parquet(path))
+    media, tensors = shared_path(spark, "audio"), shared_path(spark, "audio-tensors")
+    store_audio(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(media)
+    store_features(spark.read.parquet(media)).write.option("compression", "zstd").parquet(tensors)
+    drop_path(spark, media)
+    return media_digest(spark.read.parquet(tensors))

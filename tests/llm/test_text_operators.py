@@ -445,6 +445,70 @@ def test_audio_round_trip_and_determinism(spark):
     assert audio.media_digest(audio.store_audio(docs.limit(0))).count() == 0
 
 
+def test_the_query_stores_tensors(spark, sf_dir, tmp_path):
+    """The stored column holds fixed-shape tensors with spans that follow each other, and features come from them."""
+    docs = spark.createDataFrame([(1, "abc " * 5000), (2, None), (3, "x")], "doc_id long, text string")
+    audio.store_features(audio.store_audio(docs)).write.parquet(str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    for r in back.collect():
+        windows = audio.from_tensors(r.tensors)
+        assert windows.schema.field("log_mel").type == audio.LOG_MEL and windows.schema.field("voiced").type == audio.VOICED
+        assert windows.column("log_mel").to_numpy_ndarray().shape == (windows.num_rows, audio.WINDOW_FRAMES, audio.MELS)
+        start, end = windows.column("start_ms").to_pylist(), windows.column("end_ms").to_pylist()
+        assert start == [640 * i for i in range(len(start))] and end[:-1] == start[1:]
+    assert sorted(map(tuple, audio.media_digest(back).collect())) == sorted(map(tuple, audio.media_digest(audio.store_audio(docs)).collect()))
+    nothing = audio.media_digest(audio.store_audio(docs).withColumns({"media": F.lit(None).cast("binary"), "FEATURE": F.lit(1)}), keep=("doc_id", "FEATURE"))
+    assert nothing.columns == ["doc_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert all(set(tuple(r)[1:]) == {None} for r in nothing.collect())
+
+
+def feature_by_hand(text):
+    """Log-mel steps and segments of a text by plain loops: zero-stuffing and convolution, a plain DFT, frame by frame."""
+    raw = (text or "").encode()
+    raw += b" " * (-len(raw) % 192 if raw else 192)
+    x = np.array(list(raw), dtype=np.int64) - 128
+    stuffed = np.zeros(len(x) * 5, np.int64)
+    stuffed[::5] = x
+    y = np.convolve(stuffed, audio.polyphase_taps().T.reshape(-1))[: len(x) * 5][::8]
+    rate, count = 10_000.0, max(1, -(-max(len(y) - 250, 0) // 100) + 1)
+    mel_of, hz_of = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [hz_of(mel_of(rate / 2) * k / 41) for k in range(42)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(250)) / 256)
+    steps, energy = [], []
+    for k in range(count):
+        frame = np.zeros(250)
+        part = y[k * 100 : k * 100 + 250]
+        frame[: len(part)] = part
+        frame = frame / (128 * 2**14)
+        frame -= frame.mean()
+        power = np.abs(turn @ (frame * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(250) / 249)))) ** 2
+        row = []
+        for m in range(40):
+            total = sum(power[b] * max(0.0, min((f - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - f) / (edges[m + 2] - edges[m + 1]))) for b, f in enumerate(np.arange(129) * rate / 256))
+            row.append(10 * np.log10(max(total, 1e-8)))
+        steps.append(row)
+        energy.append(10 * np.log10(max((frame**2).mean(), 1e-8)))
+    base, on, segments, voiced = sorted(energy)[count // 10], False, 0, 0
+    for e in energy:
+        was, on = on, e >= base + 1.5 or (on and e >= base + 0.5)
+        segments += on and not was
+        voiced += on
+    return count, segments, voiced, np.array(steps)
+
+
+def test_features_equal_brute_force(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = [None, "", "a" * 500, "Some words.\n" * 40] + [t for t in pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist() if t and len(t) < 3000][:15]
+    for text in texts:
+        count, segments, voiced, mel = feature_by_hand(text)
+        blob = audio.to_tensors(audio.to_wav(audio.pad((text or "").encode())))
+        got = dict(p.split("=") for p in audio.feature_text(blob)[0].split(";"))
+        assert (int(got["frames"]), int(got["segments"]), int(got["voiced"])) == (count, segments, voiced)
+        steps = audio.from_tensors(blob).column("log_mel").to_numpy_ndarray().reshape(-1, 40)
+        assert np.abs(steps[:count] - mel).max() <= 0.5 + 1e-6 and (steps[count:] == audio.QUIET).all()
+
+
 def test_polyphase_equals_direct_filter():
     x = np.random.default_rng(1).integers(-128, 128, 500)
     up, down = audio.UP, audio.DOWN
@@ -489,6 +553,25 @@ def test_encoding_equals_the_library(library):
         assert digest == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
+def test_suffix_automaton_equals_brute_force():
+    rng = random.Random(14)
+    for _ in range(60):
+        tokens = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 6))): i for i in range(rng.randint(1, 25))}
+        tokens = {raw: i for i, raw in enumerate(tokens)}
+        automaton = bpe.SuffixAutomaton(tokens)
+        parts = {raw[i:j] for raw in tokens for i in range(len(raw)) for j in range(i + 1, len(raw) + 1)}
+        places = {p: frozenset((raw, k) for raw in tokens for k in range(len(raw) + 1) if raw[:k].endswith(p)) for p in parts}
+        assert len(automaton.link) == len(set(places.values())) + 1  # a state for each set of places, and the root
+        for _ in range(20):
+            text = bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 12)))
+            for k, token in enumerate(automaton.matches(text), 1):
+                got = []
+                while token >= 0:
+                    got.append(token)
+                    token = automaton.shorter[token]
+                assert got == [tokens[text[i:k]] for i in range(k) if text[i:k] in tokens]
+
+
 def test_known_pieces_may_be_forgotten(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEEP", 2)
     coder = bpe.PrefixBpe(bpe.vocabulary_path())
