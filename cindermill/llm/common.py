@@ -44,6 +44,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+class Scratch:
+    """Hand-overs of an operator that go once its result no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = shared_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, leave: int = 0) -> None:
+        """Delete all but the last ``leave`` hand-overs."""
+        at = len(self.paths) - leave
+        for path in self.paths[:at]:
+            drop_path(self.spark, path)
+        del self.paths[:at]
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now: it does so when the driver's garbage is collected, which on a calm driver can be half an hour later."""
     gc.collect()

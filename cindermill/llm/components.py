@@ -1,11 +1,16 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds; each round is written to the shared folder."""
+"""Connected components of an edge table by alternating large-star and small-star rounds; each round is written to the shared folder.
+
+The node that many others hang on is a hot key of every round. Its least neighbour is found by a combined aggregate;
+the join that brings it to all edges is keyed so that both sides come straight from a shuffle of their own, which lets
+Spark split the hot key among tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import handover
+from .common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,27 +18,40 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the row of their node ``a`` in ``least``. The hash in the key makes the aggregate's rows be dealt anew."""
+    keyed = lambda df: df.withColumn("h", F.xxhash64("a"))
+    return keyed(edges).join(keyed(least).hint("merge"), ["a", "h"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(down, least).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """``edges`` (a, b) to (node, component): component is the smallest node that can be reached; nodes that are the smallest of theirs are not listed."""
-    current = handover(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+def components(edges: DataFrame, label: str = "components", owner: Scratch | None = None) -> DataFrame:
+    """``edges`` (a, b) to (node, component): component is the smallest node that can be reached; nodes that are the smallest of theirs are not listed.
+
+    The result is a hand-over; it goes with those of ``owner``, if given.
+    """
+    scratch = Scratch(edges.sparkSession)
+    current = scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     state = _state(current)
     while state[0]:
-        current = handover(_small_star(_large_star(current)), label)
+        current = scratch(_small_star(scratch(_large_star(current), label)), label)
+        scratch.clear(leave=1)
         new = _state(current)
         if new == state:
             break
         state = new
+    if owner:
+        owner.paths += scratch.paths
     return current.select(F.col("a").alias("node"), F.col("b").alias("component"))

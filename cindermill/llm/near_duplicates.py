@@ -10,28 +10,32 @@ signatures, so that a common passage alone ties nothing.
 1. Equal sets are one class (its smallest document stands for it).
 2. Holders of a signature are tied in a chain, first within each chunk of a task, then over all by one shuffle.
    Components of these ties are families: no link leaves a family.
-3. Inside families all pairs of like size are compared exactly, in blocks of bounded size, inside tasks; tasks return
-   spanning links only, so a family of m gives some m rows, not m * m.
-4. Components of the links, joined back to the classes, are the result.
+3. Families are cut into small blocks, and sets are compared exactly inside blocks; tasks return spanning links only.
+   Then one set of each component so far stands for it, and these are compared in blocks, until no new link is found:
+   copies, however many, are one component by now. At last, sets of a family that are still in different components
+   are compared in pairs of blocks; blocks of one component are not compared with each other.
+4. Components of all links, joined back to the classes, are the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHasher, free_shuffles, handover, is_space_free, mix, rolling, small_batches, table
+from .common import Scratch, WordHasher, free_shuffles, handover, is_space_free, mix, rolling, small_batches, table
 from .components import components
 
-#: Documents of a block, and characters of its texts, at most (a single longer text is a block of its own).
+#: Documents of a block of the first round, of a later block, and shingles of a block, roughly (a larger set is a block of its own).
+FIRST_DOCS = 100
 BLOCK_DOCS = 500
-BLOCK_CHARS = 8_000_000
+BLOCK_ITEMS = 1_200_000
 #: Features whose values are summed at a time.
 CHUNK = 1 << 20
 #: Spare partitions, as a share of those needed.
@@ -290,31 +294,59 @@ def _compare_task(words: int, num: int, den: int, kind: pa.DataType):
     return run
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """(node, g, side) of every comparison group that a node (node, family, band, chars) takes part in.
+def _count(docs: int) -> Column:
+    """Blocks of about ``docs`` sets that a group needs."""
+    return F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("own")
 
-    A family within one block's limits is one group. Larger ones are cut by band and hash into blocks; every pair of
-    blocks of one band or of adjacent bands is a group.
+
+def _block(salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("own")).cast("int")
+
+
+def _first_blocks(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, family, band, n, g, large: the block g of the first round. A family within one block's limits is a block; larger ones are cut by band and hash."""
+    whole = scratch(nodes.groupBy("family").agg(_count(FIRST_DOCS).alias("total")), "family-sizes")
+    bands = nodes.join(whole.filter("total > 1"), "family", "left_semi").groupBy("family", "band").agg(_count(FIRST_DOCS))
+    large = nodes.join(scratch(bands, "family-bands"), ["family", "band"], "left").withColumn("large", F.col("own").isNotNull())
+    block = F.when(F.col("large"), F.xxhash64(F.lit(1), "family", "band", _block(2))).otherwise(F.xxhash64(F.lit(0), "family"))
+    return large.select("node", "family", "band", "n", "large", block.alias("g"))
+
+
+def _representatives(members: DataFrame, salt: int, scratch: Scratch) -> DataFrame:
+    """node, g, side: one set of each component of a family that has several, in blocks."""
+    one = members.filter("node = component")
+    blocks = scratch(one.groupBy("family").agg(F.count("*").alias("many"), _count(BLOCK_DOCS)).filter("many > 1").drop("many"), "family-parts")
+    return one.join(blocks, "family").select("node", F.xxhash64(F.lit(salt), "family", _block(salt)).alias("g"), F.lit(0).alias("side"))
+
+
+def _pairs_of_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, g, side of every comparison that is left: sets of like size in different components of one family.
+
+    A component of half a block or more has blocks of its own, the others share blocks. Pairs of blocks of one
+    component are left out; a shared block is compared with itself, too.
     """
-    blocks = lambda docs, chars: F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(chars / BLOCK_CHARS)).cast("int")
-    whole = nodes.groupBy("family").agg(blocks(F.count("*"), F.sum("chars")).alias("total"))
-    bands = nodes.groupBy("family", "band").agg(blocks(F.count("*"), F.sum("chars")).alias("own"))
-    split = handover(whole.filter("total > 1").select("family"), "families-large")
-    parts = handover(bands.join(split, "family", "left_semi"), "families-bands")
-    small = nodes.join(split, "family", "left_anti").select("node", F.xxhash64(F.lit(0), "family").alias("g"), F.lit(0).alias("side"))
-    large = nodes.join(parts, ["family", "band"])
-    for name, step in (("above", 1), ("below", -1)):
-        other = parts.select("family", (F.col("band") - step).alias("band"), F.col("own").alias(name))
-        large = large.join(other, ["family", "band"], "left")
-    block = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("own")).cast("int")
-    large = large.select("node", "family", "band", "own", F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"), block.alias("j"))
-    q = F.col("q")
-    upto = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))).alias("q")
-    columns = ["node", "family", "band", "j"]
-    same = large.select(*columns, upto("own")).select("node", F.xxhash64(F.lit(2), "family", "band", F.least("j", "q"), F.greatest("j", "q")).alias("g"), F.when(q == F.col("j"), 0).when(F.col("j") < q, 1).otherwise(2).alias("side"))
-    up = large.select(*columns, upto("above")).select("node", F.xxhash64(F.lit(3), "family", "band", "j", "q").alias("g"), F.lit(1).alias("side"))
-    down = large.select(*columns, upto("below")).select("node", F.xxhash64(F.lit(3), "family", F.col("band") - 1, "q", "j").alias("g"), F.lit(2).alias("side"))
-    return small.unionByName(same).unionByName(up).unionByName(down)
+    several = members.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    open_ = scratch(members.join(scratch(several.select("family"), "family-open"), "family", "left_semi"), "open-members")
+    sizes = open_.groupBy("family", "band", "component").agg(_count(BLOCK_DOCS), F.count("*").alias("size"))
+    parts = scratch(sizes.filter(F.col("size") >= BLOCK_DOCS // 2).drop("size"), "component-blocks")
+    pure = open_.join(parts, ["family", "band", "component"]).withColumn("part", F.col("component"))
+    mixed = open_.join(parts, ["family", "band", "component"], "left_anti")
+    shared = scratch(mixed.groupBy("family", "band").agg(_count(BLOCK_DOCS)), "shared-blocks")
+    mixed = mixed.join(shared, ["family", "band"]).withColumn("part", F.lit(None).cast(members.schema["component"].dataType))
+    columns = ["node", "family", "band", "part", _block(3).alias("j")]
+    placed = scratch(pure.select(*columns).unionByName(mixed.select(*columns)), "placed-members")
+    blocks = scratch(placed.groupBy("family", "band", "part", "j").agg(F.count("*").alias("docs")).drop("docs"), "blocks")
+    key = lambda x: F.struct(F.col(f"{x}.band"), F.col(f"{x}.part"), F.col(f"{x}.j"))
+    near = (F.col("x.family") == F.col("y.family")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1) & (key("x") <= key("y"))
+    apart = F.col("x.part").isNull() | F.col("y.part").isNull() | (F.col("x.part") != F.col("y.part"))
+    pairs = blocks.alias("x").join(blocks.alias("y"), near & apart)
+    name = [F.xxhash64("x.family", "x.band", "x.part", "x.j", "y.band", "y.part", "y.j", F.col("x.part").isNull(), F.col("y.part").isNull()).alias("g")]
+    self_ = (key("x") == key("y")).alias("self")
+    pairs = scratch(pairs.select(*[F.col(f"x.{c}").alias(f"x{c}") for c in blocks.columns], *[F.col(f"y.{c}").alias(f"y{c}") for c in blocks.columns], *name, self_), "block-pairs")
+    sides = [pairs.select(*[F.col(f"{s}{c}").alias(c) for c in blocks.columns], "g", side.alias("side")) for s, side in (("x", F.when(F.col("self"), 0).otherwise(1)), ("y", F.when(~F.col("self"), 2)))]
+    work = sides[0].unionByName(sides[1].filter("side IS NOT NULL"))
+    same = [placed[c].eqNullSafe(work[c]) if c == "part" else placed[c] == work[c] for c in blocks.columns]
+    return placed.join(work, same[0] & same[1] & same[2] & same[3]).select(placed["node"], work["g"], work["side"])
 
 
 def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, n2: int = 2, k2: int = 1, skip_frequent: bool = True) -> DataFrame:
@@ -323,40 +355,64 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     Documents link when den * intersection >= num * union of their shingle sets. Null texts and texts without words
     have no shingles and form components of their own. Every row gets the component of its own text; a doc_id that stands
     first in several texts joins their components. Rows with a null doc_id take part in no link but that to equal sets.
-    Other columns are ignored. ``skip_frequent`` keeps frequent shingles out of the signatures (same result): worth its
-    pass over a sample at similarities where a cell holds few shingles, so that a common passage alone may fill one.
+    Other columns are ignored; an empty table gives an empty table. ``skip_frequent`` keeps frequent shingles out of the
+    signatures (same result): worth its pass over a sample at similarities where a cell holds few shingles, so that a
+    common passage alone may fill one.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
     id_field = slim.schema["doc_id"]
     scheme = (num, den, n2, k2)
+    scratch = Scratch(spark)
     schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("band", T.IntegerType())])
     keyed = handover(slim.mapInArrow(_key_task(words, scheme, schema.names), schema), "sets")
-    classes = handover(keyed.filter("n > 0").groupBy("k1", "k2", "band").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
+    classes = scratch(keyed.filter("n > 0").groupBy("k1", "k2", "band", "n").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
 
     # One shuffle of the signatures: holders of one, in order, are tied each to the one before.
     frequent = frequent_shingles(slim, words) if skip_frequent else np.zeros(0, np.uint64)
     holders = slim.select("text").mapInArrow(_holder_task(words, scheme, frequent), "sign long, holder long")
     before = F.lag("holder").over(Window.partitionBy("sign").orderBy("holder"))
-    ties = handover(holders.select(F.col("holder").alias("a"), before.alias("b")).filter("a <> b").distinct(), "ties")
+    ties = scratch(holders.select(F.col("holder").alias("a"), before.alias("b")).filter("a <> b").distinct(), "ties")
     free_shuffles(spark)
-    families = components(ties, "families")
+    families = components(ties, "families", scratch)
     members = families.select(F.col("node").alias("k1"), F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("k1"), F.col("component").alias("family")).distinct())
-    nodes = handover(members.join(classes, "k1").select(F.col("node").alias("doc_id"), "family", "band").distinct(), "family-nodes")
+    # A node in several families or sets (an id that repeats) has a row for each.
+    nodes = scratch(members.join(classes, "k1").select("node", "family", "band", "n").distinct(), "family-nodes")
 
     # The number of family members grows with the input, so they are never broadcast.
-    texts = handover(slim.join(nodes.hint("merge"), "doc_id").select(F.col("doc_id").alias("node"), "family", "band", F.length("text").alias("chars"), "text"), "family-texts")
-    free_shuffles(spark)
-    groups = _groups(texts.select("node", "family", "band", "chars").distinct())
-    work = groups.join(texts.select("node", "text"), "node").select("g", "side", "node", "text")
+    placed = _first_blocks(nodes, scratch).withColumnRenamed("node", "doc_id")
+    texts = scratch(slim.join(placed.hint("merge"), "doc_id").withColumnRenamed("doc_id", "node"), "family-texts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    compared = work.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_compare_task(words, num, den, to_arrow_type(id_field.dataType)), T.StructType([T.StructField("a", id_field.dataType), T.StructField("b", id_field.dataType)]))
-    linked = components(compared.distinct(), "links")
+    kind = to_arrow_type(id_field.dataType)
+    pair = T.StructType([T.StructField("a", id_field.dataType), T.StructField("b", id_field.dataType)])
+
+    def compare(work: DataFrame, label: str) -> DataFrame:
+        """Links (a, b) between the sets of rows (g, side, node, text)."""
+        dealt = work.select("g", "side", "node", "text").repartition(parts, "g").sortWithinPartitions("g")
+        return scratch(dealt.mapInArrow(_compare_task(words, num, den, kind), pair).distinct(), label)
+
+    links = compare(texts.withColumn("side", F.lit(0)), "links-blocks")
+    large = scratch(texts.filter("large").select("node", "family", "band", "n").distinct(), "large-members")
+    if not large.isEmpty():
+        own_text = texts.filter("large").select("node", "text")
+        known = components(links, "links-first", scratch)
+        for round_ in count(4):
+            named = large.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            current = scratch(named, "large-components")
+            new = compare(_representatives(current, round_, scratch).join(own_text, "node"), "links-round")
+            if new.isEmpty():
+                break
+            links = scratch(links.unionByName(new).distinct(), "links-so-far")
+            known = components(links, "links-next", scratch)
+        links = links.unionByName(compare(_pairs_of_blocks(current, scratch).join(own_text, "node"), "links-pairs"))
+    linked = components(links, "links", scratch)
 
     roots = handover(classes.join(linked, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("root")), "roots")
-    return keyed.select("doc_id", "n", "k1", "k2").join(roots, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    scratch.clear()
+    columns = ["doc_id", F.col("n").alias("n_shingles")]
+    # Sets without shingles would share one key.
+    some = keyed.filter("n > 0").join(roots, ["k1", "k2"], "left").select(*columns, F.coalesce("root", "doc_id").alias("component_id"))
+    return some.unionByName(keyed.filter("n = 0").select(*columns, F.col("doc_id").alias("component_id")))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

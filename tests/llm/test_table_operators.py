@@ -71,6 +71,7 @@ def near_copies(seed, families=6, size=12, length=60):
 @pytest.mark.parametrize(("words", "num", "n2", "k2", "skip"), [(3, 90, 2, 1, False), (5, 80, 2, 1, True), (2, 60, 3, 1, True), (1, 80, 1, 0, False)])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, num, n2, k2, skip):
     rows = near_copies(words * num)
+    monkeypatch.setattr(near_duplicates, "FIRST_DOCS", 3)
     monkeypatch.setattr(near_duplicates, "BLOCK_DOCS", 5)  # so that families are cut into blocks
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"node": F.lit("x"), "family": F.lit(1), "g": F.lit(2)})
     out = near_duplicates.similar_components(docs, words, num, 100, n2, k2, skip)
