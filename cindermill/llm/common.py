@@ -65,6 +65,16 @@ class Scratch:
         del self.paths[:at]
 
 
+def split_join(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, an aggregate over ``keys``, so that Spark can split a hot key among tasks.
+
+    It can do that only where both sides come straight from a shuffle made for the join. The hash that is added to
+    the key makes the aggregate's rows be dealt anew, and takes the rows' shuffle apart from any other.
+    """
+    keyed = lambda df: df.withColumn("__key", F.xxhash64(*keys))
+    return keyed(rows).join(keyed(found), [*keys, "__key"], how).drop("__key")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now: it does so when the driver's garbage is collected, which on a calm driver can be half an hour later."""
     gc.collect()

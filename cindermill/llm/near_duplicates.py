@@ -11,7 +11,7 @@ signatures, so that a common passage alone ties nothing.
 2. Holders of a signature are tied in a chain, first within each chunk of a task, then over all by one shuffle.
    Components of these ties are families: no link leaves a family.
 3. Families are cut into small blocks, and sets are compared exactly inside blocks; tasks return spanning links only.
-   Then one set of each component so far stands for it, and these are compared in blocks, until no new link is found:
+   Then one set of each component so far stands for it, and these are compared in blocks, as long as that merges many:
    copies, however many, are one component by now. At last, sets of a family that are still in different components
    are compared in pairs of blocks; blocks of one component are not compared with each other.
 4. Components of all links, joined back to the classes, are the result.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, WordHasher, free_shuffles, handover, is_space_free, mix, rolling, small_batches, table
+from .common import Scratch, WordHasher, free_shuffles, handover, is_space_free, mix, rolling, small_batches, split_join, table
 from .components import components
 
 #: Documents of a block of the first round, of a later block, and shingles of a block, roughly (a larger set is a block of its own).
@@ -268,7 +268,7 @@ def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, num:
 
 
 def _compare_task(words: int, num: int, den: int, kind: pa.DataType):
-    """Rows (g, side, node, text) sorted by g; side 0 compares with all of its group, 1 with side 2 only."""
+    """Rows (g, side, node, text) sorted by g to links (node, smallest node of its component in the group); side 0 compares with all of its group, 1 with side 2 only."""
 
     def links(rows: list[tuple]) -> pa.RecordBatch | None:
         whole = all(r[0] == 0 for r in rows)
@@ -276,7 +276,15 @@ def _compare_task(words: int, num: int, den: int, kind: pa.DataType):
         right = None if whole else [r for r in rows if r[0] == 2]
         nodes = [r[1] for r in left + (right or [])]
         found = spanning_links([shingles(r[2], words) for r in left], None if right is None else [shingles(r[2], words) for r in right], num, den)
-        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], kind), pa.array([nodes[j] for _, j in found], kind)], names=["a", "b"])
+        # Each set is linked with the smallest node of its component here.
+        least = list(range(len(nodes)))
+        for i, j in found:
+            least[j] = least[i]
+        roots: dict = {}
+        for i, k in enumerate(least):
+            roots[k] = min(roots.get(k, nodes[i]), nodes[i])
+        pairs = sorted({(n, roots[k]) for n, k in zip(nodes, least, strict=True) if n != roots[k]})
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
@@ -303,20 +311,29 @@ def _block(salt: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("own")).cast("int")
 
 
-def _first_blocks(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _first_blocks(nodes: DataFrame) -> DataFrame:
     """node, family, band, n, g, large: the block g of the first round. A family within one block's limits is a block; larger ones are cut by band and hash."""
-    whole = scratch(nodes.groupBy("family").agg(_count(FIRST_DOCS).alias("total")), "family-sizes")
-    bands = nodes.join(whole.filter("total > 1"), "family", "left_semi").groupBy("family", "band").agg(_count(FIRST_DOCS))
-    large = nodes.join(scratch(bands, "family-bands"), ["family", "band"], "left").withColumn("large", F.col("own").isNotNull())
+    whole = nodes.groupBy("family").agg((_count(FIRST_DOCS) > 1).alias("large"))
+    bands = nodes.groupBy("family", "band").agg(_count(FIRST_DOCS))
+    sized = split_join(split_join(nodes, whole, ["family"]), bands, ["family", "band"])
     block = F.when(F.col("large"), F.xxhash64(F.lit(1), "family", "band", _block(2))).otherwise(F.xxhash64(F.lit(0), "family"))
-    return large.select("node", "family", "band", "n", "large", block.alias("g"))
+    return sized.select("node", "family", "band", "n", "large", block.alias("g"))
 
 
-def _representatives(members: DataFrame, salt: int, scratch: Scratch) -> DataFrame:
-    """node, g, side: one set of each component of a family that has several, in blocks."""
-    one = members.filter("node = component")
-    blocks = scratch(one.groupBy("family").agg(F.count("*").alias("many"), _count(BLOCK_DOCS)).filter("many > 1").drop("many"), "family-parts")
-    return one.join(blocks, "family").select("node", F.xxhash64(F.lit(salt), "family", _block(salt)).alias("g"), F.lit(0).alias("side"))
+def _representative_blocks(members: DataFrame) -> DataFrame:
+    """family, own: how many blocks the components of a family need, one set each."""
+    return members.filter("node = component").groupBy("family").agg(_count(BLOCK_DOCS))
+
+
+def _representatives(members: DataFrame, blocks: DataFrame, salt: int) -> DataFrame:
+    """node, g, side: one set of each component of a family, in blocks."""
+    return split_join(members.filter("node = component"), blocks, ["family"]).select("node", F.xxhash64(F.lit(salt), "family", _block(salt)).alias("g"), F.lit(0).alias("side"))
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """The members of families that have several components."""
+    several = members.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("family")
+    return split_join(members, several, ["family"])
 
 
 def _pairs_of_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
@@ -325,28 +342,23 @@ def _pairs_of_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
     A component of half a block or more has blocks of its own, the others share blocks. Pairs of blocks of one
     component are left out; a shared block is compared with itself, too.
     """
-    several = members.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-    open_ = scratch(members.join(scratch(several.select("family"), "family-open"), "family", "left_semi"), "open-members")
-    sizes = open_.groupBy("family", "band", "component").agg(_count(BLOCK_DOCS), F.count("*").alias("size"))
-    parts = scratch(sizes.filter(F.col("size") >= BLOCK_DOCS // 2).drop("size"), "component-blocks")
-    pure = open_.join(parts, ["family", "band", "component"]).withColumn("part", F.col("component"))
-    mixed = open_.join(parts, ["family", "band", "component"], "left_anti")
-    shared = scratch(mixed.groupBy("family", "band").agg(_count(BLOCK_DOCS)), "shared-blocks")
-    mixed = mixed.join(shared, ["family", "band"]).withColumn("part", F.lit(None).cast(members.schema["component"].dataType))
-    columns = ["node", "family", "band", "part", _block(3).alias("j")]
-    placed = scratch(pure.select(*columns).unionByName(mixed.select(*columns)), "placed-members")
-    blocks = scratch(placed.groupBy("family", "band", "part", "j").agg(F.count("*").alias("docs")).drop("docs"), "blocks")
-    key = lambda x: F.struct(F.col(f"{x}.band"), F.col(f"{x}.part"), F.col(f"{x}.j"))
-    near = (F.col("x.family") == F.col("y.family")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1) & (key("x") <= key("y"))
-    apart = F.col("x.part").isNull() | F.col("y.part").isNull() | (F.col("x.part") != F.col("y.part"))
-    pairs = blocks.alias("x").join(blocks.alias("y"), near & apart)
-    name = [F.xxhash64("x.family", "x.band", "x.part", "x.j", "y.band", "y.part", "y.j", F.col("x.part").isNull(), F.col("y.part").isNull()).alias("g")]
-    self_ = (key("x") == key("y")).alias("self")
-    pairs = scratch(pairs.select(*[F.col(f"x.{c}").alias(f"x{c}") for c in blocks.columns], *[F.col(f"y.{c}").alias(f"y{c}") for c in blocks.columns], *name, self_), "block-pairs")
-    sides = [pairs.select(*[F.col(f"{s}{c}").alias(c) for c in blocks.columns], "g", side.alias("side")) for s, side in (("x", F.when(F.col("self"), 0).otherwise(1)), ("y", F.when(~F.col("self"), 2)))]
-    work = sides[0].unionByName(sides[1].filter("side IS NOT NULL"))
-    same = [placed[c].eqNullSafe(work[c]) if c == "part" else placed[c] == work[c] for c in blocks.columns]
-    return placed.join(work, same[0] & same[1] & same[2] & same[3]).select(placed["node"], work["g"], work["side"])
+    sizes = members.groupBy("family", "band", "component").agg(_count(BLOCK_DOCS), F.count("*").alias("size"))
+    none = F.lit(None).cast(members.schema["component"].dataType)
+    named = split_join(members, sizes, ["family", "band", "component"]).withColumn("part", F.when(F.col("size") >= BLOCK_DOCS // 2, F.col("component")).otherwise(none))
+    shared = named.filter("part IS NULL").groupBy("family", "band").agg(_count(BLOCK_DOCS).alias("shared"))
+    named = split_join(named, shared, ["family", "band"], "left").withColumn("own", F.when(F.col("part").isNull(), F.col("shared")).otherwise(F.col("own")))
+    # A block's number tells all of it.
+    block = F.xxhash64("family", "band", F.col("part").isNull(), F.coalesce("part", "family"), _block(3))
+    placed = scratch(named.select("node", "family", "band", "part", block.alias("block")), "placed-members")
+    blocks = placed.select("family", "band", "part", "block").distinct()
+    x, y = (blocks.select("family", *[F.col(c).alias(f"{s}_{c}") for c in ("band", "part", "block")]) for s in "xy")
+    order = F.struct("x_band", "x_block") <= F.struct("y_band", "y_block")
+    apart = F.col("x_part").isNull() | F.col("y_part").isNull() | (F.col("x_part") != F.col("y_part"))
+    pairs = x.join(y, "family").filter(order & (F.abs(F.col("x_band") - F.col("y_band")) <= 1) & apart)
+    pairs = pairs.select("x_block", "y_block", F.xxhash64("x_block", "y_block").alias("g"), (F.col("x_block") == F.col("y_block")).alias("self"))
+    sides = F.when(F.col("self"), F.array(F.struct(F.col("x_block").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x_block").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y_block").alias("block"), F.lit(2).alias("side"))))
+    work = pairs.select("g", F.inline(sides))
+    return placed.select("node", "block").join(work, "block").select("node", "g", "side")
 
 
 def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, n2: int = 2, k2: int = 1, skip_frequent: bool = True) -> DataFrame:
@@ -380,31 +392,43 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     nodes = scratch(members.join(classes, "k1").select("node", "family", "band", "n").distinct(), "family-nodes")
 
     # The number of family members grows with the input, so they are never broadcast.
-    placed = _first_blocks(nodes, scratch).withColumnRenamed("node", "doc_id")
+    placed = _first_blocks(nodes).withColumnRenamed("node", "doc_id")
     texts = scratch(slim.join(placed.hint("merge"), "doc_id").withColumnRenamed("doc_id", "node"), "family-texts")
+    free_shuffles(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = to_arrow_type(id_field.dataType)
     pair = T.StructType([T.StructField("a", id_field.dataType), T.StructField("b", id_field.dataType)])
 
     def compare(work: DataFrame, label: str) -> DataFrame:
-        """Links (a, b) between the sets of rows (g, side, node, text)."""
+        """Links (a, b) between the sets of rows (g, side, node, text): of each set and the smallest node of its component in the group."""
         dealt = work.select("g", "side", "node", "text").repartition(parts, "g").sortWithinPartitions("g")
-        return scratch(dealt.mapInArrow(_compare_task(words, num, den, kind), pair).distinct(), label)
+        return scratch(dealt.mapInArrow(_compare_task(words, num, den, kind), pair), label)
 
     links = compare(texts.withColumn("side", F.lit(0)), "links-blocks")
-    large = scratch(texts.filter("large").select("node", "family", "band", "n").distinct(), "large-members")
+    large = texts.filter("large").select("node", "family", "band", "n")
     if not large.isEmpty():
         own_text = texts.filter("large").select("node", "text")
-        known = components(links, "links-first", scratch)
+
+        def after(members: DataFrame, moved: DataFrame) -> DataFrame:
+            """Members of families that have several components still. A round has each set in one block only, so its links say at once which component it is in."""
+            onto = moved.select(F.col("a").alias("component"), F.col("b").alias("root"))
+            named = members.join(onto, "component", "left").select("node", "family", "band", "n", F.coalesce("root", "component").alias("component"))
+            return scratch(_open_members(named), "open-members")
+
+        current = after(large.withColumn("component", F.col("node")), links)
         for round_ in count(4):
-            named = large.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            current = scratch(named, "large-components")
-            new = compare(_representatives(current, round_, scratch).join(own_text, "node"), "links-round")
-            if new.isEmpty():
+            several = _representative_blocks(current)
+            moved = compare(_representatives(current, several, round_).join(own_text, "node"), "links-round")
+            merged, stood = moved.count(), current.filter("node = component").count()
+            if not merged:
+                break
+            wide = not several.filter("own > 1").isEmpty()
+            links, current = links.unionByName(moved), after(current, moved)
+            # Another round finds something only where the sets lay in several blocks, and pays only while it merges many.
+            if not wide or 2 * merged < stood:
                 break
-            links = scratch(links.unionByName(new).distinct(), "links-so-far")
-            known = components(links, "links-next", scratch)
-        links = links.unionByName(compare(_pairs_of_blocks(current, scratch).join(own_text, "node"), "links-pairs"))
+        if not current.isEmpty():
+            links = links.unionByName(compare(_pairs_of_blocks(current, scratch).join(own_text, "node"), "links-pairs"))
     linked = components(links, "links", scratch)
 
     roots = handover(classes.join(linked, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("root")), "roots")
@@ -417,3 +441,15 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100, n2=2, k2=1, skip_frequent=False)
+
+
+_JACCARD_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_JACCARD_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(seen) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY doc_id, g
+"""

@@ -12,7 +12,7 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .html_text import op1_html_text
 from .licences import op3_licences
 from .line_dedup import OP7_SQL, op7_line_dedup
-from .near_duplicates import op5_jaccard_join
+from .near_duplicates import OP5_SQL, op5_jaccard_join
 from .quality import op4_quality
 from .toxicity import op2_toxicity
 from .warc import OP6_SQL, op6_warc
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_jaccard_join": OP5_SQL,
         "op6_warc": OP6_SQL,
         "op7_line_dedup": OP7_SQL,
         "op8_decontaminate": OP8_SQL,
