@@ -49,8 +49,9 @@ PERMISSIVENESS = {
 #: What a linking or similar exception (``WITH ...``) adds to a licence's permissiveness.
 EXCEPTION_BONUS = 0.2
 TAGS = ("spdx license identifier", "licence identifier", "license identifier")
-#: A tag, written with a hyphen, or with other signs between its words and a colon; its expression ends with the line or at the next tag.
-_TAG = re.compile(r"(?:SPDX-)?Licen[cs]e(?:-Identifier\s*:?|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+Identifier\s*:)[ \t]*", re.I)
+#: A tag of whole words, written with a hyphen, or with other signs between its words and a colon; it stands on one line, and its expression ends with that or at the next tag.
+_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+_TAG = re.compile(rf"(?<![^{_GAP}])(?:SPDX-)?Licen[cs]e(?:-Identifier(?![^{_GAP}])[ \t]*:?|(?:(?![\r\n])[{_GAP}])+Identifier[ \t]*:)[ \t]*", re.I)
 _LINE_END = re.compile(r"[\r\n]|\Z")
 _EXPRESSION = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
