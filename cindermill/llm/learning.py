@@ -7,26 +7,41 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Longer texts are left out of training samples (never out of scoring), so that a sample's size is bounded.
-LONGEST_SAMPLE = 200_000
+#: Characters of a class's training texts together, and of one of them, at most: what the driver holds has a bound, whatever the rows.
+CLASS_CHARS = 40_000_000
+TEXT_CHARS = CLASS_CHARS // 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, balanced: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(texts, labels, weights) of at most ``per_class`` labelled documents of each class, for the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: int, balanced: bool = False, class_chars: int = CLASS_CHARS, text_chars: int = TEXT_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(texts, labels, weights) of at most ``per_class`` labelled documents and ``class_chars`` characters of each class, for the driver.
 
-    Only labels for which ``fold`` holds are used. The rows taken are those with the smallest hash of their id; the
-    weights restore the classes' shares among all labelled rows of the fold, or are equal for both if ``balanced``. Rows without an id, text or label are
-    left out.
+    Only labels for which ``fold`` holds are used, and texts of at most ``text_chars`` characters. The rows taken are
+    those with the smallest hash of their id; the weights restore the classes' shares among all rows that could have
+    been taken, or are equal for both if ``balanced``. Rows without an id, text or label are left out; of labels that
+    repeat an id one counts; a document id that repeats is a row each time.
     """
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(fold & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
-    totals = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(fold & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
+    sizes = docs.select("doc_id", F.length("text").alias("chars")).filter(F.col("chars") <= text_chars)
+    candidates = sizes.join(usable, "doc_id").groupBy("doc_id", "label").agg(F.max("chars").alias("chars"), F.count("*").alias("rows"))
     order = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"))
-    picks = [usable.filter(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
-    picked = picks[0].unionByName(picks[1])
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST_SAMPLE))
+    totals = {r["label"]: r["rows"] for r in candidates.groupBy("label").agg(F.sum("rows").alias("rows")).collect()}
+    picked = []
+    for y in (0, 1):
+        held = 0
+        for row in candidates.filter(F.col("label") == y).orderBy(order, "doc_id").limit(per_class).collect():
+            held += row["chars"] * row["rows"]
+            if held > class_chars:
+                break
+            picked.append((row["doc_id"], y))
+    if not picked:
+        return [], np.zeros(0), np.zeros(0)
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(picked, T.StructType([T.StructField("doc_id", usable.schema["doc_id"].dataType), T.StructField("label", T.IntegerType())]))
     # The sample has 2 * per_class rows of an id and a label, whatever the input: it may be broadcast.
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").collect()
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= text_chars)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     weights = np.ones(len(rows))
@@ -34,7 +49,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
         n = int((y == k).sum())
         if n:
             weights[y == k] = (1 if balanced else totals.get(k, 0)) / n
-    return [r["text"] for r in rows], y, weights / max(weights.mean(), 1e-12) if len(rows) else weights
+    return [r["text"] for r in rows], y, weights / max(weights.mean(), 1e-12)
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 100, memory: int = 8, tolerance: float = 1e-5) -> np.ndarray:

@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_rows, table
+from .common import crc_mod, map_rows, not_replaced, table
 from .learning import labelled_sample, minimise, sigmoid
 
-#: Training rows of each class at most; lines of a training chain at most (longer texts are several chains); L2 penalty; score from which a document is kept.
+#: Training rows of each class at most; L2 penalty; score from which a document is kept.
 PER_CLASS = 3000
-CHAIN = 64
 PENALTY = 0.3
 THRESHOLD = 0.3
 
@@ -127,63 +126,67 @@ class Model:
         return float(good @ weight / weight.sum())
 
 
-def train(texts: list[str], y: np.ndarray, row_weights: np.ndarray) -> Model:
-    """Maximise the weighted likelihood of all chains, whose lines carry their document's label; a document's lines together weigh as much as its row."""
-    chains: list[np.ndarray] = []
-    label, weight = [], []
-    for text, k, w in zip(texts, y, row_weights, strict=True):
-        feats, _ = features(text)
-        parts = [feats[i : i + CHAIN] for i in range(0, len(feats), CHAIN)]
-        chains += parts
-        label += [k] * len(parts)
-        weight += [w / len(parts)] * len(parts)
-    if not chains:
-        return Model(np.zeros(FEATURES), 0.0, 0.0)
-    order = np.argsort([-len(c) for c in chains], kind="stable")
-    sizes = np.array([len(chains[i]) for i in order])
-    good = np.array(label)[order]
-    weight = np.array(weight)[order]
-    count, longest = len(order), int(sizes[0])
-    active = [int((sizes > t).sum()) for t in range(longest)]
-    flat = np.concatenate([chains[i] for i in order])
-    chain_of = np.repeat(np.arange(count), sizes)
-    time_of = np.concatenate([np.arange(s) for s in sizes])
-    width = flat.shape[1]
-
-    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+class ChainLoss:
+    """Negative weighted log-likelihood of labelled chains of lines, and its gradient; lines carry their document's label.
+
+    Chains run side by side, the longest first, so step t has lines of the first ``active[t]`` chains only. All tables
+    are laid out step by step in one flat array: their size is the number of lines.
+    """
+
+    def __init__(self, chains: list[np.ndarray], labels: np.ndarray, weights: np.ndarray):
+        order = np.argsort([-len(c) for c in chains], kind="stable")
+        sizes = np.array([len(chains[i]) for i in order])
+        self.good, self.weight, self.count = labels[order], weights[order], len(order)
+        turns = np.bincount(sizes - 1, minlength=int(sizes[0]))
+        self.active = len(order) - np.concatenate([[0], np.cumsum(turns)[:-1]])
+        self.at = np.concatenate([[0], np.cumsum(self.active)])
+        self.steps = sizes - 1
+        self.chain = np.concatenate([np.arange(k) for k in self.active])
+        self.flat = np.empty((len(self.chain), chains[0].shape[1]), dtype=np.int64)
+        for c, i in enumerate(order):
+            self.flat[self.at[: len(chains[i])] + c] = chains[i]
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         w, stay, turn = x[:-2], x[-2], x[-1]
-        u = np.zeros((longest, count))
-        scores = w[flat].sum(axis=1)
-        u[time_of, chain_of] = scores
+        at, active, longest = self.at, self.active, len(self.active)
+        u = w[self.flat].sum(axis=1)
         # Log-space forward and backward tables for [bad, good]; unary scores stand on good only.
-        a = np.zeros((longest, 2, count))
-        b = np.zeros((longest, 2, count))
-        a[0, 1] = u[0]
+        a = np.zeros((2, len(u)))
+        b = np.zeros((2, len(u)))
+        part = lambda t, k: slice(at[t], at[t] + k)
+        a[1, part(0, active[0])] = u[part(0, active[0])]
         for t in range(1, longest):
-            k = active[t]
-            bad, ok = a[t - 1, 0, :k], a[t - 1, 1, :k]
-            a[t, 0, :k] = np.logaddexp(bad + stay, ok + turn)
-            a[t, 1, :k] = np.logaddexp(bad + turn, ok + stay) + u[t, :k]
+            here, before = part(t, active[t]), part(t - 1, active[t])
+            a[0, here] = np.logaddexp(a[0, before] + stay, a[1, before] + turn)
+            a[1, here] = np.logaddexp(a[0, before] + turn, a[1, before] + stay) + u[here]
         for t in range(longest - 2, -1, -1):
-            k = active[t + 1]
-            bad, ok = b[t + 1, 0, :k], b[t + 1, 1, :k] + u[t + 1, :k]
-            b[t, 0, :k] = np.logaddexp(bad + stay, ok + turn)
-            b[t, 1, :k] = np.logaddexp(bad + turn, ok + stay)
-        total = np.logaddexp(a[0, 0] + b[0, 0], a[0, 1] + b[0, 1])
-        gold = good * np.bincount(chain_of, scores, minlength=count) + stay * (sizes - 1)
-        value = float((weight * (total - gold)).sum() + 0.5 * PENALTY * (x @ x))
-        p = np.exp(a[:, 1] + b[:, 1] - total)
-        diff = weight[chain_of] * (p[time_of, chain_of] - good[chain_of])
+            here, after = part(t, active[t + 1]), part(t + 1, active[t + 1])
+            ok = b[1, after] + u[after]
+            b[0, here] = np.logaddexp(b[0, after] + stay, ok + turn)
+            b[1, here] = np.logaddexp(b[0, after] + turn, ok + stay)
+        first = part(0, self.count)
+        total = np.logaddexp(a[0, first] + b[0, first], a[1, first] + b[1, first])
+        gold = self.good * np.bincount(self.chain, u, minlength=self.count) + stay * self.steps
+        value = float((self.weight * (total - gold)).sum() + 0.5 * PENALTY * (x @ x))
+        p = np.exp(a[1] + b[1] - total[self.chain])
+        diff = self.weight[self.chain] * (p - self.good[self.chain])
         grad = np.zeros_like(x)
-        grad[:-2] = np.bincount(flat.ravel(), np.repeat(diff, width), minlength=FEATURES)
+        for column in self.flat.T:
+            grad[:-2] += np.bincount(column, diff, minlength=FEATURES)
         for t in range(1, longest):
-            k = active[t]
-            z = total[:k]
-            same = np.exp(a[t - 1, 0, :k] + stay + b[t, 0, :k] - z) + np.exp(a[t - 1, 1, :k] + stay + u[t, :k] + b[t, 1, :k] - z)
-            grad[-2] += (weight[:k] * (same - 1.0)).sum()
-            grad[-1] += (weight[:k] * (1.0 - same)).sum()
+            here, before = part(t, active[t]), part(t - 1, active[t])
+            z = total[: active[t]]
+            same = np.exp(a[0, before] + stay + b[0, here] - z) + np.exp(a[1, before] + stay + u[here] + b[1, here] - z)
+            grad[-2] += (self.weight[: active[t]] * (same - 1.0)).sum()
+            grad[-1] += (self.weight[: active[t]] * (1.0 - same)).sum()
         return value, grad + PENALTY * x
 
+
+def train(texts: list[str], y: np.ndarray, row_weights: np.ndarray) -> Model:
+    """Maximise the weighted likelihood of all chains, whose lines carry their document's label."""
+    if not texts:
+        return Model(np.zeros(FEATURES), 0.0, 0.0)
+    loss = ChainLoss([features(t)[0] for t in texts], np.asarray(y, dtype=np.float64), np.asarray(row_weights, dtype=np.float64))
     x = minimise(loss, np.zeros(FEATURES + 2), steps=80)
     return Model(x[:-2], float(x[-2]), float(x[-1]))
 
@@ -204,14 +207,13 @@ class _Score:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score and predicted of every document. A null or empty text is one empty line and is scored as such; rows are independent; other columns are ignored."""
-    out = "score" if "score" not in {c.lower() for c in keep} else "quality_score"
-    scored = map_rows(docs, _Score(model), [T.StructField(out, T.DoubleType())], list(keep), ["text"])
-    return scored.withColumn("predicted", (F.col(out) >= threshold).cast("int"))
+    """``keep`` columns, score and predicted of every document. A null or empty text is one empty line and is scored as such; rows are independent; other columns are ignored, and a kept column that has the name of a result gives way to it."""
+    scored = map_rows(docs, _Score(model), [T.StructField("score", T.DoubleType())], not_replaced(keep, ["predicted"]), ["text"])
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold. Null and empty texts are judged as one empty line; repeated rows and null ids each by their own text; an empty table stays empty."""
     marked = map_rows(docs, _Score(model), [T.StructField("__quality", T.DoubleType())], docs.columns, ["text"])
     return marked.filter(F.col("__quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 

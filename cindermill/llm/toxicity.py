@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, map_rows, mix, table
+from .common import crc_mod, map_rows, mix, not_replaced, table
 from .learning import labelled_sample, minimise, sigmoid
 
 SIZES = (4, 6, 8)
 BITS = 20
-#: Training rows of each class at most; features kept at most; documents that a feature must be in; smoothing; L2 penalty.
+#: Training rows of each class at most; features kept at most (they bound the driver's memory while it fits); documents of the sample that a feature must be in; smoothing; L2 penalty.
 PER_CLASS = 2500
 FEATURES = 60_000
 MIN_DOCS = 4
@@ -105,8 +105,7 @@ def train(texts: list[str], y: np.ndarray, row_weights: np.ndarray) -> Model:
 
     x = minimise(loss, np.zeros(len(keep) + 1), steps=60)
     weights = x[:-1] * r
-    used = np.abs(weights) > 1e-4
-    return Model(keep[used], weights[used], float(x[-1]))
+    return Model(keep, weights, float(x[-1]))
 
 
 class _Score:
@@ -134,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score and predicted of every document. Null and empty texts get the score of a text without features; rows are independent; other columns are ignored."""
-    scored = map_rows(docs, _Score(model), [T.StructField("score", T.DoubleType())], list(keep), ["text"])
+    """``keep`` columns, score and predicted of every document. Null and empty texts get the score of a text without features; rows are independent; other columns are ignored, and a kept column that has the name of a result gives way to it."""
+    scored = map_rows(docs, _Score(model), [T.StructField("score", T.DoubleType())], not_replaced(keep, ["predicted"]), ["text"])
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cindermill.llm import bpe, decontaminate, line_dedup, near_duplicates, quality, queries, warc
+from cindermill.llm import line_dedup, near_duplicates, queries, warc
 from cindermill.llm.components import components
 
 
@@ -222,16 +222,8 @@ def test_frames(count):
 
 
 # --- 7 ---------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("lg_k", [12, 4])
-def test_line_dedup_equals_brute_force(spark, lg_k):
-    rng = random.Random(7)
-    common = [f"common line {i}" for i in range(12)]
-    rows = []
-    for i in range(160):
-        lines = [rng.choice(common[: rng.randint(1, 12)]) + rng.choice(["", " ", "\r"]) if rng.random() < 0.5 else f"own {i} {j}" if rng.random() < 0.8 else "" for j in range(rng.randint(1, 8))]
-        rows.append((i, "\n".join(lines), f"s{rng.randrange(14)}"))
-    rows += [(900, None, "s1"), (901, "", "s1"), (902, common[0], None), (None, common[0], "s2"), (5, rows[5][1], rows[5][2]), (903, "\n".join(common * 40), "s3")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"h": F.lit("h"), "pos": F.lit("p"), "n_lines": F.lit("z")})
+def lines_by_hand(rows, sites=10):
+    """(id, text, lines, lines removed) of each (id, text, site)."""
     spread, first = {}, {}
     for i, t, s in rows:
         for j, line in enumerate((t or "").split("\n") if t is not None else []):
@@ -243,8 +235,22 @@ def test_line_dedup_equals_brute_force(spark, lg_k):
     want = []
     for i, t, _ in rows:
         lines = t.split("\n") if t is not None else []
-        keep = [x for j, x in enumerate(lines) if i is None or not (k := x.strip(" \t\r")) or len(spread[k] - {None}) < 10 or first[k] == (i, j)]
+        keep = [x for j, x in enumerate(lines) if i is None or not (k := x.strip(" \t\r")) or len(spread[k] - {None}) < sites or first[k] == (i, j)]
         want.append((i, None if t is None else "\n".join(keep), len(lines), len(lines) - len(keep)))
+    return want
+
+
+@pytest.mark.parametrize("lg_k", [12, 4])
+def test_line_dedup_equals_brute_force(spark, lg_k):
+    rng = random.Random(7)
+    common = [f"common line {i}" for i in range(12)]
+    rows = []
+    for i in range(160):
+        lines = [rng.choice(common[: rng.randint(1, 12)]) + rng.choice(["", " ", "\r"]) if rng.random() < 0.5 else f"own {i} {j}" if rng.random() < 0.8 else "" for j in range(rng.randint(1, 8))]
+        rows.append((i, "\n".join(lines), f"s{rng.randrange(14)}"))
+    rows += [(900, None, "s1"), (901, "", "s1"), (902, common[0], None), (None, common[0], "s2"), (5, rows[5][1], rows[5][2]), (903, "\n".join(common * 40), "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"h": F.lit("h"), "pos": F.lit("p"), "n_lines": F.lit("z")})
+    want = lines_by_hand(rows)
     out = line_dedup.dedup_lines(docs, lg_k=lg_k)
     assert [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"] == out.columns
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str) == sorted(want, key=str)
@@ -291,49 +297,3 @@ def test_repeated_passages_on_few_sites(spark, sf_dir):
     out = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, sf_dir), sf_dir)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == want and all(r.n_chars == len(r.text) for r in out.collect())
-
-
-# --- pipeline --------------------------------------------------------------------------------------------------------
-def test_one_row_of_a_group_stays_where_ids_repeat_or_are_null(spark, sf_dir):
-    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
-    rows = [(2, a), (1, a), (1, a), (None, a), (None, b), (None, b), (3, c), (3, f"{c} more"), (4, "")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    out = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, sf_dir)
-    assert out.columns == docs.columns
-    got = [(r.doc_id, r.text[:2]) for r in out.collect()]
-    assert sorted(got, key=str) == sorted([(1, "a0"), (None, "b0"), (3, "c0"), (4, "")], key=str)
-
-
-def test_pipeline_stages_by_hand(spark, sf_dir):
-    """Each stage on what the one before kept, against brute force."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns = docs.columns
-    before = {r.doc_id: r for r in docs.collect()}
-    stages = dict(corpus_pipeline.STAGES)
-    assert list(stages) == ["quality_classifier", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "bpe_encoding_decoding"]
-
-    out = stages["quality_classifier"](spark, docs, sf_dir).cache()
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    assert out.columns == columns and sorted(r.doc_id for r in out.collect()) == sorted(i for i, r in before.items() if model.score(r.text) >= 0.3)
-
-    cut = stages["line_dedup"](spark, out, sf_dir).cache()
-    assert cut.columns == columns and cut.schema == docs.schema
-    for r in cut.collect():
-        kept, whole = Counter(r.text.split("\n")), Counter(before[r.doc_id].text.split("\n"))
-        assert kept <= whole and r.n_chars == len(r.text)
-
-    unique = stages["ngram_jaccard_join"](spark, cut, sf_dir).cache()
-    groups = components_by_hand([(r.doc_id, r.text) for r in cut.collect()], 5, 80)
-    assert unique.columns == columns and sorted(r.doc_id for r in unique.collect()) == sorted(i for i, (_, root) in groups.items() if i == root)
-
-    clean = stages["benchmark_decontamination"](spark, unique, sf_dir).cache()
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    index = decontaminate.Benchmark(items, decontaminate.WINDOW, decontaminate.GRAM)
-    assert clean.columns == columns and sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in unique.collect() if not index.hits(r.text)[-1])
-
-    last = stages["bpe_encoding_decoding"](spark, clean, sf_dir)
-    coder = bpe.load(bpe.vocabulary_path())
-    texts = {r.doc_id: r.text for r in clean.collect()}
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in last.collect()}
-    assert got == dict(zip(texts, coder.digests(list(texts.values())), strict=True))
-    assert {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, sf_dir).collect()} == got
