@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from .operators import alerts, index, metrics, storage
 from .plans import query_language
 from .schema import MINUTE_MS
+from .streaming import engine
 
 
 class LogEngine:
-    """Queries over processed log records (and, if given, cold records and alert rules).
+    """Queries over processed log records (and, if given, cold records or a cold store, alert rules, and the path of a stored index).
 
-    ``as_of_ms`` is the time that counts as now; by default the newest record's.
+    ``as_of_ms`` is the time that counts as now; by default the newest record's. Without a stored index searches build one.
     """
 
-    def __init__(self, logs: DataFrame, cold: DataFrame | None = None, rules: DataFrame | None = None, as_of_ms: int | None = None, bucket_ms: int = MINUTE_MS, window_minutes: int = metrics.WINDOW_MINUTES):
+    def __init__(self, logs: DataFrame, cold: DataFrame | storage.ColdStore | None = None, rules: DataFrame | None = None, as_of_ms: int | None = None, bucket_ms: int = MINUTE_MS, window_minutes: int = metrics.WINDOW_MINUTES, stored_index: str | None = None):
         self.logs, self.cold = logs, cold
         self.rules_ = rules if rules is not None else alerts.default_rules(logs.sparkSession)
         self.as_of_ms = as_of_ms if as_of_ms is not None else metrics.as_of_last(logs)
         self.bucket_ms, self.window_minutes = bucket_ms, window_minutes
-        self._index: DataFrame | None = None
+        self._index: DataFrame | None = index.read_index(logs.sparkSession, stored_index) if stored_index else None
 
     # Search language
     def query(self, text: str, from_ms: int = 0, to_ms: int = 0, limit: int = query_language.MAX_RESULTS) -> DataFrame:
@@ -68,9 +69,16 @@ class LogEngine:
 
     # Storage
     def everything(self) -> DataFrame:
-        return self.logs if self.cold is None else storage.merge_tiers(self.logs, self.cold.select(self.logs.columns))
+        if self.cold is None:
+            return self.logs
+        cold = self.cold.read() if isinstance(self.cold, storage.ColdStore) else self.cold
+        return storage.merge_tiers(self.logs, cold.select(self.logs.columns))
 
     def logs_between(self, service: str, from_ms: int, to_ms: int, limit: int = storage.RANGE_LIMIT) -> DataFrame:
+        """A service's newest records of a time range; of a cold store only the segments that overlap it are opened."""
+        if isinstance(self.cold, storage.ColdStore):
+            found = storage.merge_tiers(self.logs, self.cold.read_range(service, from_ms, to_ms).select(self.logs.columns))
+            return storage.between(found, service, from_ms, to_ms, limit)
         return storage.between(self.everything(), service, from_ms, to_ms, limit)
 
     def recent(self, limit: int = storage.RECENT_LIMIT) -> DataFrame:
@@ -83,6 +91,9 @@ class LogEngine:
     def rules(self) -> DataFrame:
         return self.rules_
 
+    def streams(self) -> DataFrame:
+        return engine.status(self.logs.sparkSession)
+
     def add_rule(self, rule: DataFrame) -> None:
         self.rules_ = alerts.add_rules(self.rules_, rule)
 

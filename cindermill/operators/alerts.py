@@ -7,6 +7,7 @@ sorted, and a task runs along its rows with one small state at a time: linear in
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from .metrics import bucket_of
 
 ALPHA, WARM_UP, PENDING, RESOLVE = 0.3, 10, 3, 5
 ERROR_RATE_THRESHOLD = 30.0
+#: Shares of the metrics that rules for all services are joined with.
+SALTS = 8
 RULE_SCHEMA = "rule_id string, name string, service_name string, metric_type string, threshold double, use_ewma boolean, ewma_sensitivity double, channel string, notification_target string, enabled boolean"
 
 
@@ -39,21 +42,29 @@ def add_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
     return last.select("r.*")
 
 
+def _versions(spark: SparkSession, path: str) -> tuple:
+    """The file system, and the finished versions of the rules at ``path``, oldest first."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    done = [p for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return fs, sorted(done, key=lambda p: p.getName())
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from JSON lines; read again by each micro-batch, so edits take effect."""
-    return spark.read.schema(RULE_SCHEMA).json(path)
+    """The newest finished version of published rules, or plain JSON lines; read again by each micro-batch, so edits take effect."""
+    _, done = _versions(spark, path)
+    return spark.read.schema(RULE_SCHEMA).json(done[-1].toString() if done else path)
 
 
-def publish_rules(rules: DataFrame, path: str) -> None:
-    """Replace the rules at ``path``: they are written beside it and moved there at the end, so that a reader sees the old or the new ones."""
+def publish_rules(rules: DataFrame, path: str, leave: int = 2) -> None:
+    """Publish rules as a new version. Readers take the newest version that is finished, so they see the old or the new ones, never none; the last ``leave`` versions stay for readers that have begun."""
     spark = rules.sparkSession
-    rules.coalesce(1).write.mode("overwrite").json(f"{path}.new")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot move the rules to {path}")
+    number = max((int(p.getName().split("=")[1].split("-")[0]) for p in _versions(spark, path)[1]), default=0) + 1
+    rules.coalesce(1).write.json(f"{path}/version={number:012d}-{uuid.uuid4().hex[:8]}")
+    fs, done = _versions(spark, path)
+    for old in done[:-leave]:
+        fs.delete(old, True)
 
 
 def service_metrics(logs: DataFrame, interval_ms: int = MINUTE_MS) -> DataFrame:
@@ -69,8 +80,12 @@ def readings(metrics: DataFrame, rules: DataFrame, error_count_is_rate: bool = F
     kind = F.col("metric_type")
     count = F.col("error_rate") if error_count_is_rate else F.col("errors").cast("double")
     value = F.when(kind == "ERROR_RATE_PERCENT", F.col("error_rate")).when(kind == "FATAL_COUNT", F.col("fatals").cast("double")).when(kind == "TOTAL_VOLUME", F.col("total").cast("double")).when(kind == "ERROR_COUNT", count)
-    # Rules are a table that people write by hand; a handful of rows is all it ever has. Spark picks the join by its size.
-    return metrics.join(live, F.col("rule_service").isNull() | (F.col("rule_service") == F.col("service_name"))).withColumn("value", value)
+    # Rules for one service are an equi-join. A rule for all meets every row by its task: the salt makes that one, too.
+    salt = F.pmod(F.xxhash64("service_name", "bucket_ms"), F.lit(SALTS))
+    scoped = metrics.join(live.filter("rule_service IS NOT NULL"), F.col("rule_service") == F.col("service_name"))
+    everywhere = live.filter("rule_service IS NULL").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    general = metrics.withColumn("__salt", salt).join(everywhere, "__salt").drop("__salt")
+    return scoped.unionByName(general).withColumn("value", value)
 
 
 @dataclass
@@ -163,8 +178,9 @@ def latest(evaluated: DataFrame) -> DataFrame:
 
 
 def status(instances: DataFrame, rules: DataFrame) -> DataFrame:
-    counts = instances.agg(F.count("*").alias("total_instances"), *[F.count_if(F.col("state") == s).alias(s.lower()) for s in ("FIRING", "PENDING", "INACTIVE")])
-    return counts.join(rules.agg(F.count("*").alias("total_rules")))
+    """Instances by state, and rules, counted in one aggregation."""
+    both = instances.select("state", F.lit(False).alias("rule")).unionByName(rules.select(F.lit(None).cast("string").alias("state"), F.lit(True).alias("rule")))
+    return both.agg(F.count_if(~F.col("rule")).alias("total_instances"), *[F.count_if(F.col("state") == s).alias(s.lower()) for s in ("FIRING", "PENDING", "INACTIVE")], F.count_if("rule").alias("total_rules"))
 
 
 def firing(instances: DataFrame, rules: DataFrame) -> DataFrame:
@@ -181,6 +197,7 @@ def events(evaluated: DataFrame, rules: DataFrame) -> DataFrame:
 def notifications(alert_events: DataFrame) -> DataFrame:
     """The text of each event's notification, with the channel's prefix; channels without one log the text alone."""
     fires = F.col("type") == "FIRING"
+    # The wording of notifications.
     text = F.format_string("%s [%s] %s — service: %s | value: %.1f | threshold: %.1f", F.when(fires, "🔴").otherwise("✅"), F.when(fires, "ALERT FIRING").otherwise("ALERT RESOLVED"), "rule_name", "service_name", "current_value", "threshold")
     prefix = F.when(F.col("channel").isin("SLACK", "EMAIL", "WEBHOOK"), F.format_string("[%s → %s] ", "channel", "notification_target")).otherwise(F.lit("NOTIFICATION → "))
     return alert_events.withColumn("text", F.concat(prefix, text))

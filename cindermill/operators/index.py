@@ -1,19 +1,23 @@
 """Inverted index over messages as a long table (term, event_id, ts_ms, service_name, positions), and its searches.
 
-A search reads the postings of its terms only; conjunctions and phrases are aggregations by event, so they cost one
-shuffle of those postings however many terms there are.
+A stored index is dealt into buckets by the hash of the term and sorted by term and time, so a search opens the folders
+of its terms' buckets only and skips most row groups in them. Conjunctions and phrases are aggregations by event, so
+they cost one shuffle of the terms' postings however many terms there are. Batches of records are added as folders of
+their own; adding one again replaces it.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DELIMITERS, MIN_TERM, STOPWORDS, is_term, raw_tokens
 
 TOP_POSTINGS = 10_000
+BUCKETS = 64
 
 
 def tokens(logs: DataFrame) -> DataFrame:
@@ -23,11 +27,37 @@ def tokens(logs: DataFrame) -> DataFrame:
 
 
 def postings(logs: DataFrame) -> DataFrame:
-    """One row per term and event with the sorted positions; service, level and category are terms at position 0."""
-    words = tokens(logs).groupBy("term", "event_id", "ts_ms", "service_name").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """One row per term and event with the sorted positions; service, level and category are terms at position 0. Records that come twice count once."""
     named = [F.concat(F.lit(f"{name}:"), F.lower(column)) for name, column in (("service", "service_name"), ("level", "level"), ("category", "category")) if column in logs.columns]
-    meta = logs.filter(F.col("message").isNotNull()).select(F.explode(F.array_compact(F.array(*named))).alias("term"), "event_id", "ts_ms", "service_name").distinct()
-    return words.unionByName(meta.withColumn("positions", F.array(F.lit(0))))
+    meta = logs.filter(F.col("message").isNotNull()).select("event_id", "ts_ms", "service_name", F.lit(0).alias("pos"), F.explode(F.array_compact(F.array(*named))).alias("term"))
+    places = tokens(logs).unionByName(meta)
+    return places.groupBy("term", "event_id", "ts_ms", "service_name").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+
+
+def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(logs: DataFrame, path: str, batch: int = 0, buckets: int = BUCKETS) -> None:
+    """Add the postings of a batch of records to the index at ``path``; a batch that is written again replaces itself."""
+    rows = postings(logs).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    # A common term is dealt on by time, so no task gets all of its postings.
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("event_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "ts_ms")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/buckets={buckets}/batch_id={batch}")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of a stored index."""
+    return spark.read.parquet(path)
+
+
+def of_terms(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of some terms; of a stored index only their buckets are opened."""
+    found = index.filter(F.col("term").isin(terms))
+    if "bucket" not in index.columns or not terms:
+        return found
+    # Only partition columns are named, so folders are chosen before any file is read.
+    return found.filter(reduce(lambda x, y: x | y, [F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.col("buckets")) for t in sorted(set(terms))]))
 
 
 def top_postings(index: DataFrame, n: int = TOP_POSTINGS) -> DataFrame:
@@ -42,13 +72,13 @@ def term_count(index: DataFrame) -> DataFrame:
 
 def search_any(index: DataFrame, terms: list[str]) -> DataFrame:
     """Ids of events that have one of the terms."""
-    return index.filter(F.col("term").isin(terms)).select("event_id").distinct()
+    return of_terms(index, terms).select("event_id").distinct()
 
 
 def search_all(index: DataFrame, terms: list[str]) -> DataFrame:
     """Ids of events that have all terms."""
     wanted = sorted(set(terms))
-    found = index.filter(F.col("term").isin(wanted)).groupBy("event_id").agg(F.countDistinct("term").alias("n"))
+    found = of_terms(index, wanted).groupBy("event_id").agg(F.countDistinct("term").alias("n"))
     return found.filter(F.col("n") == len(wanted)).select("event_id")
 
 
@@ -62,7 +92,7 @@ def search_phrase(index: DataFrame, terms: list[str], offsets: list[int] | None
     shifts = F.lit(None).cast("array<int>")
     for term in set(terms):
         shifts = F.when(F.col("term") == term, F.array(*[F.lit(o) for t, o in zip(terms, offsets, strict=True) if t == term])).otherwise(shifts)
-    places = index.filter(F.col("term").isin(terms)).select("event_id", F.explode("positions").alias("pos"), shifts.alias("shifts")).select("event_id", "pos", F.explode("shifts").alias("shift"))
+    places = of_terms(index, terms).select("event_id", F.explode("positions").alias("pos"), shifts.alias("shifts")).select("event_id", "pos", F.explode("shifts").alias("shift"))
     starts = places.groupBy("event_id", (F.col("pos") - F.col("shift")).alias("start")).agg(F.countDistinct("shift").alias("n"))
     return starts.filter(F.col("n") == len(set(offsets))).select("event_id").distinct()
 
@@ -100,4 +130,4 @@ def fetch(logs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def postings_between(index: DataFrame, term: str, from_ms: int, to_ms: int) -> DataFrame:
-    return index.filter((F.col("term") == term) & F.col("ts_ms").between(from_ms, to_ms))
+    return of_terms(index, [term]).filter(F.col("ts_ms").between(from_ms, to_ms))

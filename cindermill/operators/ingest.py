@@ -24,6 +24,7 @@ CATEGORY_WORDS = {
     "JVM_ERROR": ("outofmemory", "stackoverflow", "gc overhead"),
     "NULL_POINTER": ("nullpointerexception", "npe"),
 }
+BUFFER = 4096
 EXCLUDED_PATHS = ("/health", "/actuator", "/favicon.ico")
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -74,6 +75,13 @@ def capture_http(requests: DataFrame, service: str = "unknown-service", environm
     )
 
 
+def buffered(logs: DataFrame, capacity: int = BUFFER, arrival: tuple[str, ...] = ("kafka_offset", "kafka_partition")) -> DataFrame:
+    """What a bounded buffer takes in of the records that come before it is drained: the first ``capacity`` by arrival; the newest are dropped. (A task keeps no more than that; on a stream, the source's limits per trigger do the same without loss.)"""
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("the capacity of a buffer must be a power of two")
+    return logs.orderBy(*arrival).limit(capacity)
+
+
 def deduplicate(logs: DataFrame, arrival: tuple[str, ...] = ("kafka_partition", "kafka_offset")) -> DataFrame:
     """The first record by arrival of each event_id; records without an id all stay.
 
@@ -106,11 +114,10 @@ def rejects(logs: DataFrame) -> DataFrame:
 
 def counters(logs: DataFrame) -> DataFrame:
     """How many records came, were duplicates, and were rejected after dedup."""
-    kept = deduplicate(logs)
-    came = logs.agg(F.count("*").alias("received"))
-    left = kept.agg(F.count("*").alias("unique"), F.count_if(reject_reason().isNotNull()).alias("rejected"))
-    # Both sides are a single row by construction.
-    return came.join(left).select("received", (F.col("received") - F.col("unique")).alias("duplicates"), "rejected")
+    came = logs.select(F.lit(1).alias("one"), F.lit(0).alias("kept"), F.lit(0).alias("bad"))
+    kept = deduplicate(logs).select(F.lit(0).alias("one"), F.lit(1).alias("kept"), F.when(reject_reason().isNotNull(), 1).otherwise(0).alias("bad"))
+    total = came.unionByName(kept).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("one", "kept", "bad")])
+    return total.select(F.col("one").alias("received"), (F.col("one") - F.col("kept")).alias("duplicates"), F.col("bad").alias("rejected"))
 
 
 def observed(logs: DataFrame, observation) -> DataFrame:

@@ -83,26 +83,37 @@ def sliding(b: DataFrame, bucket_ms: int = MINUTE_MS, window_buckets: int = WIND
     return out.withColumn("error_rate_percent", F.expr("window_errors * 100 div window_total"))
 
 
-def detect_patterns(b: DataFrame, window_minutes: int = WINDOW_MINUTES, rate: int = ERROR_RATE_PERCENT, spike: int = ERROR_SPIKE, factor: int = VOLUME_FACTOR) -> DataFrame:
-    """service_name, pattern, value, description of every pattern in the active buckets of each service.
-
-    One aggregation gives the window's figures and its earliest spiking bucket. A volume spike is measured against the
-    mean of all buckets, which is only known after it, so the few buckets of a service are joined back once.
-    """
-    mean = b.groupBy("service_name").agg(F.avg("total").alias("mean"), F.count("*").alias("n"))
-    joined = b.join(mean, "service_name")
-    burst = (F.col("total") > F.col("mean") * factor) & (F.col("mean") > 5) & (F.col("n") > 2)
-    first = lambda value, when: F.min(F.when(when, F.struct("bucket_ms", value)))[value]
-    s = joined.groupBy("service_name").agg(F.sum("total").alias("events"), F.sum("errors").alias("all_errors"), F.sum("fatals").alias("all_fatals"), first("errors", F.col("errors") >= spike).alias("spike"), first("total", burst).alias("burst"), F.first("mean").alias("mean"))
-    s = s.withColumn("rate", F.expr("all_errors * 100 div events"))
+#: The figures of a bucket that patterns are found from.
+BUCKET = ("bucket_ms", "total", "errors", "fatals")
+
+
+def gathered(b: DataFrame, *keys: Column | str) -> DataFrame:
+    """``keys`` and ``buckets``: the buckets of a window by time. There are as many as the window has intervals, whatever the input."""
+    return b.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*BUCKET))).alias("buckets"))
+
+
+def patterns_of(windows: DataFrame, window_minutes: int = WINDOW_MINUTES, rate: int = ERROR_RATE_PERCENT, spike: int = ERROR_SPIKE, factor: int = VOLUME_FACTOR) -> DataFrame:
+    """The columns of ``windows`` without ``buckets``, and pattern, value, description of every pattern in its buckets."""
+    keys = [c for c in windows.columns if c != "buckets"]
+    add = lambda c: lambda s, x: s + x[c]
+    sums = {f"all_{c}": F.aggregate("buckets", F.lit(0).cast("long"), add(c)) for c in ("total", "errors", "fatals")}
+    s = windows.withColumns(sums).withColumns({"mean": F.col("all_total") / F.size("buckets"), "rate": F.expr("all_errors * 100 div all_total")})
+    first = lambda when, value: F.try_element_at(F.filter("buckets", when), F.lit(1))[value]
+    s = s.withColumns({"spike": first(lambda x: x["errors"] >= spike, "errors"), "burst": first(lambda x: (x["total"] > F.col("mean") * factor) & (F.col("mean") > 5) & (F.size("buckets") > 2), "total")})
     found = lambda when, name, value, text: F.when(when, F.struct(F.lit(name).alias("pattern"), F.col(value).cast("long").alias("value"), text.alias("description")))
     w = F.lit(window_minutes)
+    # Names and wording of the patterns.
     patterns = F.array_compact(
         F.array(
-            found((F.col("rate") >= rate) & (F.col("events") > 5), "HIGH_ERROR_RATE", "rate", F.format_string(f"Error rate is %d%% over last %d minutes (threshold: {rate}%%)", "rate", w)),
+            found((F.col("rate") >= rate) & (F.col("all_total") > 5), "HIGH_ERROR_RATE", "rate", F.format_string(f"Error rate is %d%% over last %d minutes (threshold: {rate}%%)", "rate", w)),
             found(F.col("spike").isNotNull(), "ERROR_SPIKE", "spike", F.format_string(f"%d errors in a single minute (threshold: {spike})", "spike")),
             found(F.col("all_fatals") > 0, "FATAL_DETECTED", "all_fatals", F.format_string("%d FATAL events detected in last %d minutes", "all_fatals", w)),
             found(F.col("burst").isNotNull(), "VOLUME_SPIKE", "burst", F.format_string("Volume spike: %d events in one minute vs avg %.1f/min", "burst", "mean")),
         )
     )
-    return s.select("service_name", F.explode(patterns).alias("p")).select("service_name", "p.*")
+    return s.select(*keys, F.explode(patterns).alias("p")).select(*keys, "p.*")
+
+
+def detect_patterns(b: DataFrame, window_minutes: int = WINDOW_MINUTES, rate: int = ERROR_RATE_PERCENT, spike: int = ERROR_SPIKE, factor: int = VOLUME_FACTOR) -> DataFrame:
+    """service_name, pattern, value, description of every pattern in the active buckets of each service."""
+    return patterns_of(gathered(b, "service_name"), window_minutes, rate, spike, factor)

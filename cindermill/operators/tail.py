@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_SHOWN, MAX_RESULTS_SHOWN = 500, 50
+MAX_SHOWN = 500
 
 
 def route(logs: DataFrame) -> DataFrame:

@@ -122,8 +122,12 @@ judged AS (SELECT *, CASE WHEN trim(coalesce(service_name, '')) = '' THEN 'missi
 
 
 def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_faults(read_logs(spark, sf_dir))
+
+
+def _with_faults(logs: DataFrame) -> DataFrame:
     n = F.col("kafka_offset")
-    return read_logs(spark, sf_dir).withColumns(
+    return logs.withColumns(
         {
             "service_name": F.when(n % 11 == 0, " ").otherwise(F.col("service_name")),
             "message": F.when(n % 13 != 0, F.col("message")),
@@ -229,6 +233,11 @@ def capture_defaults(spark, sf_dir):
     return out.select("event_id", "ts_ms", "ingested_at_ms", "service_name", "host_name", "environment", "category")
 
 
+@query("capture_buffer", f"{LOGS} SELECT event_id, kafka_offset FROM logs ORDER BY kafka_offset, kafka_partition LIMIT {ingest.BUFFER}")
+def capture_buffer(spark, sf_dir):
+    return ingest.buffered(read_logs(spark, sf_dir)).select("event_id", "kafka_offset")
+
+
 # --- windows and patterns --------------------------------------------------------------------------------------------
 BUCKETS = f"""{LOGS}, b AS (SELECT service_name, ts_ms - ts_ms % {BUCKET} AS bucket_ms, count(*) AS total, CAST(count_if(level = 'ERROR') AS BIGINT) AS errors, CAST(count_if(level = 'WARN') AS BIGINT) AS warns, CAST(count_if(level = 'FATAL') AS BIGINT) AS fatals, CAST(count_if(level NOT IN ('ERROR', 'WARN', 'FATAL')) AS BIGINT) AS infos FROM logs GROUP BY ALL)"""
 ACTIVE = f"{BUCKETS}, a AS (SELECT * FROM b WHERE bucket_ms >= (SELECT max(ts_ms) FROM logs) - {WINDOW})"
@@ -307,8 +316,22 @@ POSTINGS = rf"""{TOKENS}, postings AS (SELECT term, event_id, ts_ms, service_nam
 UNION ALL SELECT DISTINCT unnest(['service:' || lower(service_name), 'level:' || lower(level), 'category:' || lower(category)]), event_id, ts_ms, service_name, [0] FROM classified)"""
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, label: str, write: Callable[[str], object]) -> str:
+    """The path of a dataset that ``write`` makes once for each application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _STORED:
+        path = shared_path(spark, label)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(_classified(spark, sf_dir))
+    """The stored index of the logs."""
+    return index.read_index(spark, _stored(spark, sf_dir, "index", lambda path: index.write_index(_classified(spark, sf_dir), path)))
 
 
 @query("idx_tokens", f"{TOKENS} SELECT event_id, term, pos FROM tokens")
@@ -420,9 +443,51 @@ def store_survivors(spark, sf_dir):
 
 @query("store_cold_roundtrip", f"{LOGS} SELECT event_id, ts_ms, service_name, level, message FROM logs WHERE ts_ms < {AS_OF} - {_WARM}")
 def store_cold_roundtrip(spark, sf_dir):
-    path = shared_path(spark, "cold")
-    storage.archive(spark, read_logs(spark, sf_dir), path, AS_OF, _WARM)
-    return storage.read_cold(spark, path).select("event_id", "ts_ms", "service_name", "level", "message")
+    _, cold = _archived(spark, sf_dir, "cold-roundtrip")
+    return cold.read().select("event_id", "ts_ms", "service_name", "level", "message")
+
+
+def _archived(spark: SparkSession, sf_dir: str, label: str, batches: tuple[int | None, ...] = (None,)) -> tuple[str, storage.ColdStore]:
+    """A new warm tier with all logs, and the cold tier to which runs of the tiering job have moved what was due."""
+    warm, cold = shared_path(spark, f"{label}-warm"), storage.ColdStore(spark, shared_path(spark, label))
+    storage.write_warm(read_logs(spark, sf_dir), warm)
+    for run, batch in enumerate(batches):
+        storage.archive(spark, warm, cold, run, AS_OF, _WARM, batch)
+    return warm, cold
+
+
+@query("store_warm_delete", f"{LOGS} SELECT event_id, ts_ms, message FROM logs WHERE ts_ms >= {AS_OF} - {_WARM}")
+def store_warm_delete(spark, sf_dir):
+    warm, _ = _archived(spark, sf_dir, "warm-delete")
+    return spark.read.parquet(warm).select("event_id", "ts_ms", "message")
+
+
+@query("store_archive_runs", f"""{LOGS}, n AS (SELECT *, row_number() OVER (ORDER BY ts_ms, event_id) AS n FROM logs WHERE ts_ms < {AS_OF} - {_WARM})
+SELECT event_id, ts_ms, 'cold' AS tier FROM n WHERE n <= 150 UNION ALL SELECT event_id, ts_ms, 'warm' FROM n WHERE n > 150 UNION ALL SELECT event_id, ts_ms, 'warm' FROM logs WHERE ts_ms >= {AS_OF} - {_WARM}""")
+def store_archive_runs(spark, sf_dir):
+    """Two runs of 100 and 50 rows: the oldest are cold, all others still warm."""
+    warm, cold = _archived(spark, sf_dir, "archive-runs", (100, 50))
+    tiers = {"cold": cold.read(), "warm": spark.read.parquet(warm)}
+    both = [df.select("event_id", "ts_ms", F.lit(name).alias("tier")) for name, df in tiers.items()]
+    return both[0].unionByName(both[1])
+
+
+@query("store_expire_apply", f"{LOGS} SELECT event_id, ts_ms FROM logs WHERE ts_ms < {AS_OF} - {_WARM} AND ts_ms >= {AS_OF} - {25 * DAY_MS}")
+def store_expire_apply(spark, sf_dir):
+    """The retention ends at midnight, so whole days go."""
+    _, cold = _archived(spark, sf_dir, "expire-apply")
+    cold.expire(AS_OF, 25 * DAY_MS)
+    return cold.read().select("event_id", "ts_ms")
+
+
+def _cold(spark: SparkSession, sf_dir: str) -> storage.ColdStore:
+    """A cold tier of all logs."""
+    return storage.ColdStore(spark, _stored(spark, sf_dir, "cold-all", lambda path: storage.ColdStore(spark, path).append(read_logs(spark, sf_dir), 0)))
+
+
+@query("store_cold_range", f"{LOGS} SELECT {_SHOWN} FROM logs WHERE service_name = 'auth-service' AND ts_ms BETWEEN {FROM_MS} AND {TO_MS}")
+def store_cold_range(spark, sf_dir):
+    return _cold(spark, sf_dir).read_range("auth-service", FROM_MS, TO_MS).select(SHOWN)
 
 
 MANIFEST = f"{LOGS}, m AS (SELECT service_name, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS event_date, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts, count(*) AS rows FROM logs GROUP BY ALL)"
@@ -430,22 +495,26 @@ MANIFEST = f"{LOGS}, m AS (SELECT service_name, strftime(make_timestamp(ts_ms *
 
 @query("store_manifest", f"{MANIFEST} SELECT *, 'service_name=' || service_name || '/event_date=' || event_date AS path FROM m")
 def store_manifest(spark, sf_dir):
-    return storage.manifest(read_logs(spark, sf_dir))
+    return _days(spark, sf_dir)
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.manifest_of_days(_cold(spark, sf_dir).manifest())
 
 
 @query("store_manifest_prune", f"{MANIFEST} SELECT event_date, min_ts, max_ts FROM m WHERE service_name = 'auth-service' AND min_ts <= {TO_MS} AND max_ts >= {FROM_MS}")
 def store_manifest_prune(spark, sf_dir):
-    return storage.overlapping(storage.manifest(read_logs(spark, sf_dir)), "auth-service", FROM_MS, TO_MS).select("event_date", "min_ts", "max_ts")
+    return storage.overlapping(_days(spark, sf_dir), "auth-service", FROM_MS, TO_MS).select("event_date", "min_ts", "max_ts")
 
 
 @query("store_expire", f"{MANIFEST} SELECT service_name, event_date FROM m WHERE max_ts < {AS_OF} - {25 * DAY_MS}")
 def store_expire(spark, sf_dir):
-    return storage.expired(storage.manifest(read_logs(spark, sf_dir)), AS_OF, 25 * DAY_MS).select("service_name", "event_date")
+    return storage.expired(_days(spark, sf_dir), AS_OF, 25 * DAY_MS).select("service_name", "event_date")
 
 
 @query("store_segment_count", f"{MANIFEST} SELECT count(*) AS segments FROM m")
 def store_segment_count(spark, sf_dir):
-    return storage.segment_count(storage.manifest(read_logs(spark, sf_dir)))
+    return storage.segment_count(_days(spark, sf_dir))
 
 
 # --- alerts ----------------------------------------------------------------------------------------------------------
@@ -579,12 +648,92 @@ def stream_windows(spark, sf_dir):
 def stream_alerts(spark, sf_dir):
     source = shared_path(spark, "stream-readings")
     _readings(spark, sf_dir).select("rule_id", "service_name", "bucket_ms", "value", "use_ewma", "threshold", "ewma_sensitivity").write.parquet(source)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    try:
+    with engine.rocksdb_state(spark):
         path = _run(engine.alert_stream(engine.stream_of(spark, source), alpha=ALPHA), "stream-alerts")
-    finally:
-        if before:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-        else:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return _fsm_columns(spark.read.parquet(path))
+
+
+def _parts_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The logs as a stream of several micro-batches, in order of time: each part is written after the one before it."""
+
+    def write(path: str) -> None:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        ends = events.select(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b")).first()
+        for k in range(parts):
+            low, high = (ends.a + (ends.b - ends.a) * x / parts for x in (k, k + 1))
+            at = F.col("ts").cast("timestamp")
+            events.filter((at >= F.lit(low)) & ((at < F.lit(high)) if k < parts - 1 else F.lit(True))).write.mode("append").parquet(path)
+
+    path = _stored(spark, sf_dir, "events-parts", write)
+    return logs_from_events(engine.stream_of(spark, path, files_per_trigger=1))
+
+
+#: What the watermark of an hour has passed at the end of the test events.
+_CLOSED = f"(SELECT max(ts_ms) FROM logs) - {HOUR_MS}"
+
+
+@query("stream_sliding", f"""{BUCKETS}, k AS (SELECT unnest(range(6)) AS k), w AS (SELECT b.*, bucket_ms - k * {BUCKET} AS window_ms FROM b, k)
+SELECT service_name, window_ms, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in metrics.COUNTS)} FROM w WHERE window_ms + {SIX_HOURS} <= {_CLOSED} GROUP BY ALL""")
+def stream_sliding(spark, sf_dir):
+    """Six-hour windows every hour, each once the watermark has passed it."""
+    path = _run(engine.window_counts(_parts_stream(spark, sf_dir), "6 hours", "1 hour", "1 hour"), "stream-sliding")
+    return spark.read.parquet(path).drop("batch_id")
+
+
+_WIDE = BUCKETS.replace(f"% {BUCKET}", f"% {SIX_HOURS}")
+_FOUND = " UNION ALL ".join(
+    f"SELECT service_name, window_ms, '{kind}' AS pattern, {value} AS value FROM g WHERE {when}"
+    for kind, value, when in (
+        ("HIGH_ERROR_RATE", "CAST(errors * 100 // total AS BIGINT)", f"errors * 100 // total >= {RATE} AND total > 5"),
+        ("ERROR_SPIKE", "spike", "spike IS NOT NULL"),
+        ("FATAL_DETECTED", "CAST(fatals AS BIGINT)", "fatals > 0"),
+        ("VOLUME_SPIKE", "burst", "burst IS NOT NULL"),
+    )
+)
+
+
+@query("stream_patterns", f"""{_WIDE}, k AS (SELECT unnest(range(4)) AS k), a AS (SELECT b.*, bucket_ms - k * {SIX_HOURS} AS window_ms FROM b, k),
+m AS (SELECT *, avg(total) OVER p AS mean, count(*) OVER p AS n FROM a WINDOW p AS (PARTITION BY service_name, window_ms)),
+g AS (SELECT service_name, window_ms, sum(total) AS total, sum(errors) AS errors, sum(fatals) AS fatals, arg_min(errors, bucket_ms) FILTER (WHERE errors >= {SPIKE}) AS spike, arg_min(total, bucket_ms) FILTER (WHERE total > mean * {FACTOR} AND mean > 5 AND n > 2) AS burst FROM m WHERE window_ms + {DAY_MS} <= {_CLOSED} GROUP BY ALL)
+{_FOUND}""")
+def stream_patterns(spark, sf_dir):
+    """Day-long windows every six hours, over buckets of six hours."""
+    found = engine.patterns(_parts_stream(spark, sf_dir), "6 hours", "1 day", "6 hours", "1 hour", 1440, rate=RATE, spike=SPIKE, factor=FACTOR)
+    return spark.read.parquet(_run(found, "stream-patterns")).select("service_name", "window_ms", "pattern", "value")
+
+
+@query("stream_rejects", f"{_FAULTY} SELECT event_id, reason FROM judged WHERE reason IS NOT NULL")
+def stream_rejects(spark, sf_dir):
+    return spark.read.parquet(_ingested(spark, sf_dir)["bad"]).select("event_id", "reason")
+
+
+@query("stream_counters", f"{_FAULTY} SELECT count(*) AS unique_, count_if(reason IS NOT NULL)::BIGINT AS rejected FROM judged")
+def stream_counters(spark, sf_dir):
+    counts = spark.read.parquet(_ingested(spark, sf_dir)["counts"])
+    return counts.agg(F.sum("unique").alias("unique_"), F.sum("rejected").alias("rejected"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Every record twice through ingestion with a dead-letter sink, in several micro-batches."""
+    at = {name: shared_path(spark, f"stream-{name}") for name in ("good", "bad", "counts", "checkpoint")}
+    logs = _with_faults(_parts_stream(spark, sf_dir)).withColumns({c: F.lit(None).cast("string") for c in ("category", "country", "city")})
+    twice = logs.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    engine.with_dead_letters(twice, at["good"], at["bad"], at["checkpoint"], at["counts"], "3000 days").awaitTermination()
+    return at
+
+
+@query("stream_index", f"{POSTINGS} SELECT term, event_id, ts_ms, array_to_string(positions, ',') AS places FROM postings WHERE term IN ('timeout', 'level:fatal', 'gateway')")
+def stream_index(spark, sf_dir):
+    path, checkpoint = shared_path(spark, "stream-index"), shared_path(spark, "stream-index-checkpoint")
+    logs = ingest.classify(_parts_stream(spark, sf_dir).withColumn("category", F.lit(None).cast("string")))
+    engine.index_stream(logs, path, checkpoint, 16).awaitTermination()
+    found = index.of_terms(index.read_index(spark, path), ["timeout", "level:fatal", "gateway"])
+    return found.select("term", "event_id", "ts_ms", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("places"))
+
+
+@query("stream_alerts_chained", f"{METRICS} {_FSM} WHERE bucket_ms + {SIX_HOURS} <= {_CLOSED}")
+def stream_alerts_chained(spark, sf_dir):
+    """Records, metrics, readings and alert states in one stream of several micro-batches."""
+    with engine.rocksdb_state(spark):
+        path = _run(engine.alert_chain(_parts_stream(spark, sf_dir), _rules(spark), "6 hours", "1 hour", alpha=ALPHA), "stream-alerts-chained")
     return _fsm_columns(spark.read.parquet(path))

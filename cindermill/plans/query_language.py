@@ -67,6 +67,17 @@ def parse(text: str | None) -> Query:
     return Query(raw, operator, tuple(_clause(p) for p in _cut(raw, operator)))
 
 
+def _checked(pattern: str) -> str:
+    """A pattern of Java's regex language; one that is none is refused here, not by the tasks that would run it."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and hasattr(spark, "_jvm"):
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception as e:
+            raise ValueError(f"not a regular expression: {pattern.removeprefix('(?i)')}") from e
+    return pattern
+
+
 def clause_filter(c: Clause, columns: list[str]) -> Column:
     message = F.col("message")
     if c.kind == "FIELD":
@@ -77,9 +88,9 @@ def clause_filter(c: Clause, columns: list[str]) -> Column:
             return F.col("tags")[c.field[5:]] == value
         return F.col(c.field) == value if c.field in PLAIN and c.field in columns else F.lit(False)
     if c.kind == "PHRASE":
-        return message.rlike(rf"(?i)\b{c.value}\b")
+        return message.rlike(_checked(rf"(?i)\b{c.value}\b"))
     # A text without regex signs is a plain substring test, which is cheaper than a regex.
-    return message.rlike(f"(?i){c.value}") if _REGEX.search(c.value) or not c.value.isascii() else F.lower(message).contains(c.value.lower())
+    return message.rlike(_checked(f"(?i){c.value}")) if _REGEX.search(c.value) or not c.value.isascii() else F.lower(message).contains(c.value.lower())
 
 
 def condition(query: Query, columns: list[str]) -> Column:

@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 # Fixed values of the data model.
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
-ENVIRONMENTS = ("DEVELOPMENT", "STAGING", "PRODUCTION")
-TIERS = ("HOT", "WARM", "COLD")
 #: Datasets that stand for the topics: partitions and days of retention.
 DATASETS = {"raw-logs": (12, 7), "processed-logs": (6, 3), "alerts": (3, 7), "metrics": (3, 7), "dead-letter": (3, 30)}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import LOG_SCHEMA, complete
+from ..schema import DATASETS, LOG_SCHEMA, complete
 
 #: The test table ``events`` as log records; {S} is the string type and {MS} the epoch milliseconds of ``ts``.
 EVENT_COLUMNS = {
@@ -14,8 +14,8 @@ EVENT_COLUMNS = {
     "level": "case when event_type = 'error' and value >= 150 then 'FATAL' when event_type = 'error' then 'ERROR' when event_type = 'signup' and user_id % 3 = 0 then 'WARN' when event_type = 'view' then 'DEBUG' else 'INFO' end",
     "service_name": "case user_id % 4 when 0 then 'payment-service' when 1 then 'auth-service' when 2 then 'order-service' else 'cart-service' end",
     "environment": "case user_id % 3 when 0 then 'PRODUCTION' when 1 then 'STAGING' else 'DEVELOPMENT' end",
-    "message": "case event_type when 'error' then case event_id % 6 when 0 then 'Database timeout after 5000ms' when 1 then 'SQL exception: connection refused' when 2 then concat('JWT token expired for userId=u_', cast(user_id as {S})) when 3 then 'OutOfMemoryError: heap space exhausted' when 4 then 'Payment gateway timeout - call failed' else 'NullPointerException in handler' end "
-    "when 'purchase' then concat('Payment processed for orderId=ORD-', cast(event_id as {S})) when 'signup' then concat('User login successful userId=u_', cast(user_id as {S})) when 'click' then 'Retry attempt 2 of 3 for payment' else concat('GET /items/', cast(user_id as {S})) end",
+    "message": "case event_type when 'error' then case event_id % 6 when 0 then 'Orders store: timeout, no answer for 5 s' when 1 then 'Cannot open the SQL pool, connection refused by replica 2' when 2 then concat('Session ended: JWT token expired, userId=u_', cast(user_id as {S})) when 3 then 'OutOfMemoryError while a report was built' when 4 then 'Card payment gateway timeout, giving up' else 'NullPointerException in the basket page' end "
+    "when 'purchase' then concat('Order paid in full, orderId=N-', cast(event_id as {S})) when 'signup' then concat('Account opened, userId=u_', cast(user_id as {S})) when 'click' then 'Second retry of a payment call' else concat('GET /items/', cast(user_id as {S})) end",
     "stack_trace": "case when event_type = 'error' and event_id % 7 = 0 then 'java.lang.RuntimeException: boom' end",
     "source_ip": "case user_id % 8 when 0 then '127.0.0.1' when 1 then '10.0.1.5' when 2 then '192.168.0.9' when 3 then '172.16.0.2' when 4 then '52.1.2.3' when 5 then '35.1.2.3' when 6 then '13.1.2.3' else '8.8.8.8' end",
     "kafka_partition": "cast(event_id % 12 as int)",
@@ -70,12 +70,15 @@ def to_messages(logs: DataFrame) -> DataFrame:
 
 
 def write_kafka(logs: DataFrame, servers: str, topic: str, checkpoint: str):
-    """Start a stream of ``logs`` into a topic."""
+    """Start a stream of ``logs`` into a topic of the catalogue."""
+    if topic not in DATASETS:
+        raise ValueError(f"no topic {topic!r}; there are {', '.join(DATASETS)}")
     return to_messages(logs).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.compression.type", "snappy").option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
 def bulk_fixture(spark: SparkSession, ts_ms: int = 1_704_103_200_000) -> DataFrame:
     """The ten canned records of the test injector, within one minute."""
+    # The injector's records.
     rows = [
         ("payment-service", "INFO", "Payment processed for orderId=ORD-001"),
         ("payment-service", "ERROR", "Database timeout after 5000ms"),

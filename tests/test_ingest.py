@@ -16,6 +16,14 @@ def test_dedup_keeps_the_first_and_all_without_id(spark):
     assert ingest.deduplicate(out).count() == out.count()
 
 
+def test_a_bounded_buffer_drops_the_newest(spark):
+    import pytest
+
+    assert [r.event_id for r in ingest.buffered(bulk_fixture(spark), 4).collect()] == ["e01", "e02", "e03", "e04"]
+    with pytest.raises(ValueError, match="power of two"):
+        ingest.buffered(bulk_fixture(spark), 10)
+
+
 def test_similar_ids_are_not_duplicates(spark):
     df = logs(spark, [("evt-001", 0, 1), ("evt-999", 0, 2)], "event_id string, kafka_partition int, kafka_offset long")
     assert ingest.deduplicate(df).count() == 2

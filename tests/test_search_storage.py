@@ -114,18 +114,91 @@ def test_tiers(spark):
 
 
 def test_archive_and_reads(spark, fixture_logs, tmp_path):
-    path = str(tmp_path / "cold")
+    warm, cold = str(tmp_path / "warm"), storage.ColdStore(spark, str(tmp_path / "cold"))
     last = fixture_logs.agg({"ts_ms": "max"}).first()[0]
     old = fixture_logs.withColumn("ts_ms", fixture_logs.ts_ms - 40 * DAY_MS)
-    kept = storage.archive(spark, old.unionByName(fixture_logs), path, last)
-    assert kept.count() == 10
-    back = storage.read_cold(spark, path)
+    assert cold.manifest().count() == 0 and cold.read().count() == 0 and cold.expire(last) == 0
+    storage.write_warm(old.unionByName(fixture_logs), warm)
+    assert storage.archive(spark, warm, cold, 1, last, batch=4) == 4
+    assert storage.archive(spark, warm, cold, 2, last) == 6 and storage.archive(spark, warm, cold, 3, last) == 0
+    left = spark.read.parquet(warm)
+    assert left.count() == 10 and left.agg({"ts_ms": "min"}).first()[0] > last - DAY_MS
+    back = cold.read()
     assert back.count() == 10 and sorted(r.event_id for r in back.filter("service_name = 'auth-service'").collect()) == ["e03", "e04", "e09"]
+    assert back.filter("tags IS NULL").count() == 10 and back.columns[-1] == "event_date"
     merged = storage.merge_tiers(fixture_logs, back.select(fixture_logs.columns))
     assert merged.count() == 10
-    m = storage.manifest(old)
-    assert storage.overlapping(m, "auth-service", 0, last).count() == 1 and storage.overlapping(m, "auth-service", last, last).count() == 0
-    assert storage.expired(m, last + 400 * DAY_MS).count() == 3 and storage.segment_count(m).first().segments == 3
+    days = storage.manifest_of_days(cold.manifest())
+    assert storage.overlapping(days, "auth-service", 0, last).count() == 1 and storage.overlapping(days, "auth-service", last, last).count() == 0
+    assert storage.expired(days, last + 400 * DAY_MS).count() == 3 and storage.segment_count(days).first().segments == 3
+    # A run that is written again replaces itself.
+    assert cold.append(old.filter("event_id = 'e01'"), 1) == 1 and cold.read().count() == 7
+
+
+def test_cold_reads_open_matching_segments_only(spark, fixture_logs, tmp_path):
+    cold = storage.ColdStore(spark, str(tmp_path / "cold"))
+    rows = [fixture_logs.withColumn("ts_ms", fixture_logs.ts_ms - k * DAY_MS) for k in range(3)]
+    cold.append(rows[0].unionByName(rows[1]).unionByName(rows[2]), 0)
+    last = fixture_logs.agg({"ts_ms": "max"}).first()[0]
+    found = cold.read_range("auth-service", last - DAY_MS - 1000, last - DAY_MS)
+    assert sorted(r.event_id for r in found.collect()) == ["e03", "e04", "e09"]
+    assert all("service_name=auth-service" in f for f in found.inputFiles()) and len(found.inputFiles()) < cold.manifest().count() / 3
+    assert cold.read_range("auth-service", 0, 5).count() == 0
+    # Expiry deletes files; with some of them gone already it ends all the same.
+    before = {r.path for r in cold.manifest().collect()}
+    n = cold.expire(last, int(1.5 * DAY_MS))
+    assert 0 < n < len(before) and cold.read().count() == 20 and cold.expire(last, int(1.5 * DAY_MS)) == 0
+    import os
+
+    assert sum(os.path.exists(p.removeprefix("file://").removeprefix("file:")) for p in before) == len(before) - n
+
+
+def test_warm_delete_keeps_the_rest_of_a_day(spark, fixture_logs, tmp_path):
+    warm = str(tmp_path / "warm")
+    storage.write_warm(fixture_logs.unionByName(fixture_logs.withColumn("ts_ms", fixture_logs.ts_ms - DAY_MS)), warm)
+    from pyspark.sql import functions as F
+
+    t = fixture_logs.filter("event_id = 'e05'").first().ts_ms
+    storage.delete_warm(spark, warm, F.col("ts_ms") <= t, "2024-01-01")
+    assert sorted(r.event_id for r in spark.read.parquet(warm).collect()) == ["e06", "e07", "e08", "e09", "e10"]
+    storage.delete_warm(spark, warm, F.col("ts_ms") <= t, "2024-01-01")
+    assert spark.read.parquet(warm).count() == 5
+
+
+def test_stored_index(spark, fixture_logs, fixture_index, tmp_path):
+    path = str(tmp_path / "index")
+    index.write_index(fixture_logs.filter("event_id <= 'e05'"), path, 0, 8)
+    index.write_index(fixture_logs.filter("event_id > 'e05'"), path, 1, 8)
+    index.write_index(fixture_logs.filter("event_id > 'e05'"), path, 1, 8)
+    stored = index.read_index(spark, path)
+    assert stored.count() == fixture_index.count()
+    for text in ("timeout", "payment AND timeout", "timeout OR refused", '"payment gateway"', "level:ERROR AND service:payment-service", ""):
+        assert sorted(index.search(stored, text).collect()) == sorted(index.search(fixture_index, text).collect())
+    plan = index.of_terms(stored, ["timeout"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(cast(bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert len({f for f in index.of_terms(stored, ["timeout"]).select(F_file()).distinct().collect()}) == 2
+    twice = fixture_logs.unionByName(fixture_logs)
+    assert index.postings(twice).count() == fixture_index.count()
+
+
+def F_file():
+    from pyspark.sql import functions as F
+
+    return F.input_file_name()
+
+
+def test_bad_patterns_are_refused_on_the_driver(fixture_logs):
+    for text in ("a(b", '"x)"', "message:\"[\"", "level:ERROR AND *"):
+        with pytest.raises(ValueError, match="regular expression"):
+            ql.execute(fixture_logs, text)
+
+
+def test_hot_tier_expires(spark, fixture_logs, tmp_path):
+    path = str(tmp_path / "hot")
+    last = fixture_logs.agg({"ts_ms": "max"}).first()[0]
+    fixture_logs.write.parquet(f"{path}/batch_id=1")
+    fixture_logs.withColumn("ts_ms", fixture_logs.ts_ms - 2 * HOUR_MS).write.parquet(f"{path}/batch_id=0")
+    assert storage.expire_hot(spark, path, last) == 1 and spark.read.parquet(path).count() == 10
 
 
 def test_warm_round_trip(spark, fixture_logs, tmp_path):
