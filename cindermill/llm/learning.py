@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Scratch
+
 #: Characters of a class's training texts together, and of one of them, at most: what the driver holds has a bound, whatever the rows.
 CLASS_CHARS = 40_000_000
 TEXT_CHARS = CLASS_CHARS // 20
@@ -24,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(fold & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     sizes = docs.select("doc_id", F.length("text").alias("chars")).filter(F.col("chars") <= text_chars)
-    candidates = sizes.join(usable, "doc_id").groupBy("doc_id", "label").agg(F.max("chars").alias("chars"), F.count("*").alias("rows"))
+    scratch = Scratch(docs.sparkSession)
+    candidates = scratch(sizes.join(usable, "doc_id").groupBy("doc_id", "label").agg(F.max("chars").alias("chars"), F.count("*").alias("rows")), "labelled")
     order = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"))
     totals = {r["label"]: r["rows"] for r in candidates.groupBy("label").agg(F.sum("rows").alias("rows")).collect()}
     picked = []
@@ -35,6 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
             if held > class_chars:
                 break
             picked.append((row["doc_id"], y))
+    scratch.clear()
     if not picked:
         return [], np.zeros(0), np.zeros(0)
     spark = docs.sparkSession

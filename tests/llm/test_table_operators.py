@@ -166,7 +166,7 @@ def test_components(spark):
 def test_archives_round_trip(spark):
     from cindermill.llm.common import shared_path
 
-    long = "<p>" + "long page " * 50_000
+    long = "<p>" + "long page " * 400_000
     rows = [(3, "http://a", "same"), (1, "http://b\r\nX: y", "same"), (2, None, None), (9, "u", ""), (4, "u", long), (5, "u", "é\0\r\n\r\nWARC/1.1"), (1, "http://b", "same"), (None, "u", "same"), (None, None, None), (7, "u", "once")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"first": F.lit(1), "n": F.lit(2), "digest": F.lit("d"), "key": F.lit("k"), "payload": F.lit("p")})
     path = shared_path(spark, "warc-test")
