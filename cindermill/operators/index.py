@@ -41,9 +41,8 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 def write_index(logs: DataFrame, path: str, batch: int = 0, buckets: int = BUCKETS) -> None:
     """Add the postings of a batch of records to the index at ``path``; a batch that is written again replaces itself."""
     rows = postings(logs).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    # A common term is dealt on by time, so no task gets all of its postings.
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("event_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "ts_ms")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/buckets={buckets}/batch_id={batch}")
+    # Spark splits the bucket of a common term by its size.
+    rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "ts_ms").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/buckets={buckets}/batch_id={batch}")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

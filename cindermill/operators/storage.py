@@ -38,10 +38,9 @@ def write_warm(logs: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_cold(logs: DataFrame, path: str, mode: str = "append") -> None:
-    """Segments: rows meet by service and day before the write, so that a day of a service is few files; a hot one is split by time."""
+    """Segments: rows meet by service and day before the write, so that a day of a service is few files; Spark splits a hot one by its size."""
     out = logs.withColumns({"event_date": day(F.col("ts_ms")), "service_name": service_or_unknown()})
-    dealt = out.repartition("service_name", "event_date", F.col("ts_ms").cast("long") % 8)
-    dealt.write.mode(mode).option("compression", "gzip").partitionBy("service_name", "event_date").json(path)
+    out.hint("rebalance", F.col("service_name"), F.col("event_date")).write.mode(mode).option("compression", "gzip").partitionBy("service_name", "event_date").json(path)
 
 
 def read_cold(spark: SparkSession, path: str) -> DataFrame:
@@ -118,10 +117,10 @@ class ColdStore:
 
     def manifest(self) -> DataFrame:
         """One row per segment file that has not expired."""
-        if not _exists(self.spark, f"{self.path}/manifest"):
+        if not exists(self.spark, f"{self.path}/manifest"):
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
         known = self.spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.path}/manifest")
-        if not _exists(self.spark, f"{self.path}/expired"):
+        if not exists(self.spark, f"{self.path}/expired"):
             return known
         return known.join(self.spark.read.schema("path string").option("recursiveFileLookup", "true").parquet(f"{self.path}/expired"), "path", "left_anti")
 
@@ -217,6 +216,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DELIMITERS, STOPWORDS
 from ..operators import alerts, index, ingest, metrics, storage, tail
-from ..schema import DAY_MS, HOUR_MS
-from ..sources.logs import logs_from_events, logs_sql, read_logs
+from ..schema import DAY_MS, HOUR_MS, LOG_SCHEMA
+from ..sources.logs import logs_from_events, logs_sql, read_logs, stamp, stream_json_logs, to_messages
 from ..sources.shared import shared_path
 from ..streaming import engine
 from . import query_language as ql
@@ -221,6 +221,31 @@ def http_capture(spark, sf_dir):
     return out.select("ts_ms", "level", "message", "trace_id", "source_ip", "category", F.col("tags")["duration"].alias("duration"))
 
 
+@query("http_trace_ids", f"""WITH a AS (SELECT {', '.join(_access('duckdb'))}, event_id FROM events)
+SELECT start_ms AS ts_ms, CASE WHEN event_id % 3 > 0 THEN x_trace_id ELSE 'made' END AS trace_id FROM a WHERE NOT (starts_with(path, '/health') OR starts_with(path, '/actuator') OR starts_with(path, '/favicon.ico'))""")
+def http_trace_ids(spark, sf_dir):
+    """Requests without a trace id, or with a blank one, get one of their own."""
+    requests = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_access("spark"), "event_id")
+    n = F.col("event_id")
+    out = ingest.capture_http(requests.withColumn("x_trace_id", F.when(n % 3 > 0, F.col("x_trace_id")).when(n % 2 == 0, F.lit(" "))))
+    made = F.col("trace_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return out.select("ts_ms", F.when(made, "made").otherwise(F.col("trace_id")).alias("trace_id"))
+
+
+@query("q_tag_field", f"""WITH a AS (SELECT {', '.join(_access('duckdb'))} FROM events)
+SELECT start_ms AS ts_ms, path FROM a WHERE NOT (starts_with(path, '/health') OR starts_with(path, '/actuator') OR starts_with(path, '/favicon.ico')) AND status = 500 AND method = 'POST'""")
+def q_tag_field(spark, sf_dir):
+    logs = ingest.capture_http(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_access("spark")))
+    return ql.matches(logs, "tags.status:500").filter(F.col("tags")["method"] == "POST").select("ts_ms", F.col("tags")["path"].alias("path"))
+
+
+@query("json_round_trip", f"{LOGS} SELECT event_id, ts_ms, level, service_name, message, stack_trace, 3 AS kafka_partition, 7::BIGINT AS kafka_offset FROM logs")
+def json_round_trip(spark, sf_dir):
+    """Records to messages and back, as a topic's reader decodes and stamps them."""
+    sent = to_messages(read_logs(spark, sf_dir)).select(F.from_json("value", LOG_SCHEMA).alias("r"), F.lit(3).alias("partition"), F.lit(7).alias("offset"))
+    return stamp(sent).select("event_id", "ts_ms", "level", "service_name", "message", "stack_trace", "kafka_partition", "kafka_offset")
+
+
 @query(
     "capture_defaults",
     f"""{LOGS} SELECT event_id, CASE WHEN kafka_offset % 5 = 0 THEN {AS_OF} ELSE ts_ms END AS ts_ms, {AS_OF} AS ingested_at_ms, CASE WHEN kafka_offset % 7 = 0 THEN 'shop' ELSE service_name END AS service_name, 'host-1' AS host_name,
@@ -258,6 +283,12 @@ def win_buckets(spark, sf_dir):
     return _buckets(spark, sf_dir)
 
 
+@query("win_blank_services", f"{_FAULTY} SELECT service_name, count(*) AS total FROM judged WHERE trim(service_name) <> '' GROUP BY 1")
+def win_blank_services(spark, sf_dir):
+    """Records without a service are in no window."""
+    return metrics.buckets(_faulty(spark, sf_dir), BUCKET).groupBy("service_name").agg(F.sum("total").alias("total"))
+
+
 @query("win_bucket_rate", f"{BUCKETS} SELECT service_name, bucket_ms, round(100.0 * errors / total, 6) AS error_rate FROM b")
 def win_bucket_rate(spark, sf_dir):
     return metrics.bucket_error_rate(_buckets(spark, sf_dir)).select("service_name", "bucket_ms", F.round("error_rate", 6).alias("error_rate"))
@@ -322,7 +353,7 @@ _STORED: dict[tuple[str, str, str], str] = {}
 def _stored(spark: SparkSession, sf_dir: str, label: str, write: Callable[[str], object]) -> str:
     """The path of a dataset that ``write`` makes once for each application and input."""
     key = (spark.sparkContext.applicationId, sf_dir, label)
-    if key not in _STORED:
+    if key not in _STORED or not storage.exists(spark, _STORED[key]):
         path = shared_path(spark, label)
         write(path)
         _STORED[key] = path
@@ -557,6 +588,21 @@ def alert_rule_match(spark, sf_dir):
     return _readings(spark, sf_dir).select("rule_id", "service_name", "bucket_ms", F.round("value", 6).alias("value"))
 
 
+_SCOPED = [("fatal-pay", "Fatal payments", "payment-service", "FATAL_COUNT", 1.0), ("volume", "Volume", None, "TOTAL_VOLUME", 20.0), ("errors-auth", "Errors", "auth-service", "ERROR_COUNT", 5.0)]
+
+
+@query("alert_scoped_rules", f"""{METRICS}, scoped(rule_id, service, metric) AS (VALUES {', '.join(f"('{r}', {f"'{s}'" if s else 'NULL'}, '{m}')" for r, _, s, m, _ in _SCOPED)})
+SELECT s.rule_id, m.service_name, m.bucket_ms, CAST(CASE metric WHEN 'FATAL_COUNT' THEN fatals WHEN 'TOTAL_VOLUME' THEN total ELSE errors END AS DOUBLE) AS value FROM met m JOIN scoped s ON s.service IS NULL OR s.service = m.service_name""")
+def alert_scoped_rules(spark, sf_dir):
+    """Rules for one service and for all, after a publication and a reading back."""
+    path = shared_path(spark, "rules")
+    rules = spark.createDataFrame([(*r, False, 3.0, "LOG_ONLY", "ops", True) for r in _SCOPED], alerts.RULE_SCHEMA)
+    alerts.publish_rules(alerts.default_rules(spark), path)
+    alerts.publish_rules(rules, path)
+    found = alerts.readings(alerts.service_metrics(read_logs(spark, sf_dir), SIX_HOURS), alerts.read_rules(spark, path))
+    return found.select("rule_id", "service_name", "bucket_ms", "value")
+
+
 @query("alert_threshold", f"{METRICS} SELECT rule_id, service_name, bucket_ms, value >= threshold AS breached FROM read WHERE NOT use_ewma")
 def alert_threshold(spark, sf_dir):
     return _readings(spark, sf_dir).filter("NOT use_ewma").select("rule_id", "service_name", "bucket_ms", (F.col("value") >= F.col("threshold")).alias("breached"))
@@ -613,6 +659,11 @@ def tail_filter(spark, sf_dir):
     return tail.view(read_logs(spark, sf_dir), "ERROR", "PAY").select(SHOWN)
 
 
+@query("tail_counters", f"{LOGS} SELECT count(*) AS total, CAST(count_if(level IN ('ERROR', 'FATAL')) AS BIGINT) AS errors FROM logs")
+def tail_counters(spark, sf_dir):
+    return tail.counters(read_logs(spark, sf_dir))
+
+
 # --- streaming -------------------------------------------------------------------------------------------------------
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_from_events(engine.stream_of(spark, f"{sf_dir}/events.parquet"))
@@ -731,6 +782,30 @@ def stream_index(spark, sf_dir):
     return found.select("term", "event_id", "ts_ms", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("places"))
 
 
+@query("stream_tail", f"{LOGS} SELECT event_id, '/topic/logs' AS topic FROM logs UNION ALL SELECT event_id, '/topic/logs/' || service_name FROM logs UNION ALL SELECT event_id, '/topic/logs/errors' FROM logs WHERE level IN ('ERROR', 'FATAL')")
+def stream_tail(spark, sf_dir):
+    path, checkpoint = shared_path(spark, "stream-tail"), shared_path(spark, "stream-tail-checkpoint")
+    push = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+    engine.live_tail(_parts_stream(spark, sf_dir), push, checkpoint, None).awaitTermination()
+    return spark.read.parquet(path).select("event_id", "topic")
+
+
+@query("stream_tiers", f"{LOGS} SELECT event_id, 'hot' AS tier, 'HOT' AS storage_tier, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS event_date FROM logs UNION ALL SELECT event_id, 'warm', 'HOT', strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') FROM logs")
+def stream_tiers(spark, sf_dir):
+    """Every record goes to the hot and to the warm tier."""
+    hot, warm, checkpoint = (shared_path(spark, f"stream-tiers-{x}") for x in ("hot", "warm", "checkpoint"))
+    engine.route_tiers(_parts_stream(spark, sf_dir), hot, warm, checkpoint, None).awaitTermination()
+    both = [spark.read.parquet(path).select("event_id", F.lit(tier).alias("tier"), "storage_tier", F.col("event_date").cast("string").alias("event_date")) for tier, path in (("hot", hot), ("warm", warm))]
+    return both[0].unionByName(both[1])
+
+
+@query("stream_json", f"{LOGS} SELECT event_id, ts_ms, service_name, level, message FROM logs")
+def stream_json(spark, sf_dir):
+    """Raw records from a folder of JSON lines."""
+    folder = _stored(spark, sf_dir, "raw-json", lambda path: to_messages(read_logs(spark, sf_dir)).select("value").write.text(path))
+    return spark.read.parquet(_run(stream_json_logs(spark, folder), "stream-json")).select("event_id", "ts_ms", "service_name", "level", "message")
+
+
 @query("stream_alerts_chained", f"{METRICS} {_FSM} WHERE bucket_ms + {SIX_HOURS} <= {_CLOSED}")
 def stream_alerts_chained(spark, sf_dir):
     """Records, metrics, readings and alert states in one stream of several micro-batches."""

@@ -142,20 +142,24 @@ def to_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "append
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def route_tiers(logs: DataFrame, hot: str, warm: str, checkpoint: str, trigger: str = "60 seconds") -> StreamingQuery:
-    """Write each micro-batch to the hot and the warm dataset."""
+def _trigger(every: str | None) -> dict:
+    return {"availableNow": True} if every is None else {"processingTime": every}
+
+
+def route_tiers(logs: DataFrame, hot: str, warm: str, checkpoint: str, trigger: str | None = "60 seconds") -> StreamingQuery:
+    """Write each micro-batch to the hot and the warm dataset (without ``trigger``: what is available now)."""
 
     def write(batch: DataFrame, number: int) -> None:
         labelled = batch.withColumns({"storage_tier": F.lit("HOT"), "event_date": F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd")})
         labelled.write.mode("overwrite").parquet(f"{hot}/batch_id={number}")
         labelled.write.mode("overwrite").partitionBy("event_date").parquet(f"{warm}/batch_id={number}")
 
-    return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+    return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_trigger(trigger)).start()
 
 
-def live_tail(logs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: str = "1 second") -> StreamingQuery:
+def live_tail(logs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: str | None = "1 second") -> StreamingQuery:
     """Push routed records to ``sink`` as they come (start the source at its latest offsets)."""
-    return tail.route(logs).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+    return tail.route(logs).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**_trigger(trigger)).start()
 
 
 STATUS_SCHEMA = "name string, id string, run_id string, leader boolean, batch_id long, input_rows long, watermark string"
