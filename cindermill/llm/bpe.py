@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import map_rows, small_batches, table
+from .common import map_rows, small_batches, table, tidy
 
 #: White_Space code points, and the letters and numbers below U+02B0, as the pre-tokenizer's pattern means them.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -346,7 +346,7 @@ class _Digests:
 def token_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; a null text counts as empty, columns besides doc_id and text are ignored."""
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(_Digests(path or vocabulary_path()), T.StructType([slim.schema["doc_id"], *DIGEST_FIELDS]))
+    return slim.mapInArrow(tidy(_Digests(path or vocabulary_path())), T.StructType([slim.schema["doc_id"], *DIGEST_FIELDS]))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

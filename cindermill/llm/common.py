@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,27 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one in local tests only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="cindermill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
 
+def handover(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here and an executor lost later costs only a re-read.
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    ``narrow`` rows (ids and hashes from a task that reads texts) are dealt anew by size first, so that they are few files.
+    """
+    return _write(df, shared_path(df.sparkSession, label), narrow)
 
 
-def handover(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here and an executor lost later costs only a re-read."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+def _write(df: DataFrame, path: str, narrow: bool) -> DataFrame:
+    (df.hint("rebalance") if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,11 +43,10 @@ class Scratch:
         self.spark = spark
         self.paths: list[str] = []
 
-    def __call__(self, df: DataFrame, label: str) -> DataFrame:
-        path = shared_path(self.spark, label)
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def __call__(self, df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+        """As ``handover``."""
+        self.paths.append(shared_path(self.spark, label))
+        return _write(df, self.paths[-1], narrow)
 
     def clear(self, leave: int = 0) -> None:
         """Delete all but the last ``leave`` hand-overs."""
@@ -118,7 +109,7 @@ def map_rows(df: DataFrame, per_row: Callable, fields: list[T.StructField], keep
                 arrays = [small.column(cols.index(c)) for c in keep] + [pa.array(o, type=t) for o, t in zip(outs, arrow_types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
 
 
 def small_batches(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -128,6 +119,22 @@ def small_batches(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[p
     step = max(1, int(batch.num_rows * max_bytes / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
+
+
+def tidy(run: Callable) -> Callable:
+    """An Arrow task that gives memory it no longer needs back to the system at its end: workers live on between tasks, and what their allocators keep would count against the executor."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, handover, is_alnum_or_high, map_rows, rolling, small_batches, table
+from .common import WordHasher, handover, is_alnum_or_high, map_rows, rolling, small_batches, table, tidy
 
 WINDOW = 10
 GRAM = 6
@@ -192,7 +192,7 @@ def _arrow_rows(per_text, names: list[str]):
                 columns = [np.concatenate(c).astype(c[0].dtype).view(np.int64) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, columns)], names=names)
 
-    return run
+    return tidy(run)
 
 
 def _doc_prints(window: int, gram: int, lengths: list[int]):

@@ -46,7 +46,7 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 def _places(lines: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
     """The places of the wanted lines, written once. Both sides of the join come straight from a shuffle, so a line that stands in very many places is split."""
-    return handover(lines.join(handover(wanted.select(*KEY), f"{label}-lines"), KEY), f"{label}-places")
+    return handover(lines.join(handover(wanted.select(*KEY), f"{label}-lines"), KEY), f"{label}-places", narrow=True)
 
 
 def _first() -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, WordHasher, free_shuffles, handover, is_space_free, mix, rolling, small_batches, split_join, table
+from .common import Scratch, WordHasher, free_shuffles, handover, is_space_free, mix, rolling, small_batches, split_join, table, tidy
 from .components import components
 
 #: Documents of a block of the first round, of a later block, and shingles of a block, roughly (a larger set is a block of its own).
@@ -45,6 +45,8 @@ SPARE = 0.15
 SAMPLE_DOCS = 20_000
 SAMPLE_CHARS = 20_000
 FREQUENT = 5
+#: The most frequent of them that go to the tasks: 8 MB.
+FREQUENT_MOST = 1_000_000
 
 _HASHER: list[WordHasher] = []
 
@@ -166,13 +168,13 @@ def _shingle_task(words: int):
 def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted hashes of the shingles that ``FREQUENT`` documents or more of a sample of about ``SAMPLE_DOCS`` share.
 
-    They only decide which features the signatures are made of, never the result. Their number has a bound: the
-    sample's shingles divided by ``FREQUENT``; texts over ``SAMPLE_CHARS`` characters are not sampled.
+    They only decide which features the signatures are made of, never the result, so at most the ``FREQUENT_MOST``
+    most frequent are taken; texts over ``SAMPLE_CHARS`` characters are not sampled.
     """
     short = docs.select("text").filter(F.length("text") <= SAMPLE_CHARS)
     share = min(1.0, SAMPLE_DOCS / max(short.count(), 1))
-    items = short.sample(share, seed=1).mapInArrow(_shingle_task(words), "item long")
-    found = items.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).select("item").toArrow()
+    items = short.sample(share, seed=1).mapInArrow(tidy(_shingle_task(words)), "item long")
+    found = items.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "item").limit(FREQUENT_MOST).select("item").toArrow()
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
@@ -186,7 +188,7 @@ def _holder_task(words: int, scheme_args: tuple, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(*scheme_args)
         for batch in batches:
-            for part in small_batches(batch, 16 << 20):
+            for part in small_batches(batch):
                 keys, signs = [], []
                 for text in part.column(0).to_pylist():
                     items = shingles(text, words)
@@ -377,12 +379,12 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     scheme = (num, den, n2, k2)
     scratch = Scratch(spark)
     schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("band", T.IntegerType())])
-    keyed = handover(slim.mapInArrow(_key_task(words, scheme, schema.names), schema), "sets")
+    keyed = handover(slim.mapInArrow(tidy(_key_task(words, scheme, schema.names)), schema), "sets", narrow=True)
     classes = scratch(keyed.filter("n > 0").groupBy("k1", "k2", "band", "n").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
 
     # One shuffle of the signatures: holders of one, in order, are tied each to the one before.
     frequent = frequent_shingles(slim, words) if skip_frequent else np.zeros(0, np.uint64)
-    holders = slim.select("text").mapInArrow(_holder_task(words, scheme, frequent), "sign long, holder long")
+    holders = slim.select("text").mapInArrow(tidy(_holder_task(words, scheme, frequent)), "sign long, holder long")
     before = F.lag("holder").over(Window.partitionBy("sign").orderBy("holder"))
     ties = scratch(holders.select(F.col("holder").alias("a"), before.alias("b")).filter("a <> b").distinct(), "ties")
     free_shuffles(spark)
@@ -402,7 +404,7 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     def compare(work: DataFrame, label: str) -> DataFrame:
         """Links (a, b) between the sets of rows (g, side, node, text): of each set and the smallest node of its component in the group."""
         dealt = work.select("g", "side", "node", "text").repartition(parts, "g").sortWithinPartitions("g")
-        return scratch(dealt.mapInArrow(_compare_task(words, num, den, kind), pair), label)
+        return scratch(dealt.mapInArrow(tidy(_compare_task(words, num, den, kind)), pair), label, narrow=True)
 
     links = compare(texts.withColumn("side", F.lit(0)), "links-blocks")
     large = texts.filter("large").select("node", "family", "band", "n")

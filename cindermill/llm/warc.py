@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import handover, shared_path, small_batches, table
+from .common import handover, shared_path, small_batches, table, tidy
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An empty skippable frame; all its bytes are ASCII, so it can stand as a line separator.
@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     joined = left.join(copies.withColumnRenamed("digest", "key"), "key", "left")
     first = F.when(F.col("first") != F.col("page_id"), F.col("first").cast("string"))
     records = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", first.alias("first")).hint("rebalance")
-    frames = records.mapInArrow(_write_task, "frame binary")
+    frames = records.mapInArrow(tidy(_write_task), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).text(path)
 
 
@@ -220,7 +220,7 @@ def _read_task(with_payload: bool):
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every record under ``path``: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits)."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read_task(with_payload), READ_SCHEMA)
+    return files.mapInArrow(tidy(_read_task(with_payload)), READ_SCHEMA)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
