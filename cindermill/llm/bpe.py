@@ -27,7 +27,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 LOW_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 LOW_NUMBERS = "0-9²³¹¼-¾"
 #: Distinct pre-tokens whose encoding a Python worker keeps; beyond it the store starts anew (results do not depend on it).
-KEEP = 500_000
+KEEP = 300_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -204,7 +204,7 @@ class PrefixBpe:
                 pair = last[start] << 20 | token
                 ok = compatible.get(pair)
                 if ok is None:
-                    if len(compatible) > 2_000_000:
+                    if len(compatible) > 500_000:
                         compatible.clear()
                     ok = compatible[pair] = self._stays_apart(last[start], token)
                 if ok:
@@ -337,7 +337,7 @@ class _Digests:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(self.path)
         for batch in batches:
-            for part in small_batches(batch, 4 << 20):
+            for part in small_batches(batch, 1 << 20):
                 rows = coder.digests([t or "" for t in part.column(1).to_pylist()])
                 n, ids, back = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", *(f.name for f in DIGEST_FIELDS)])

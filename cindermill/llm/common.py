@@ -112,7 +112,7 @@ def map_rows(df: DataFrame, per_row: Callable, fields: list[T.StructField], keep
     return slim.mapInArrow(tidy(run), schema)
 
 
-def small_batches(batch: pa.RecordBatch, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``max_bytes``; Python copies of the texts stay small."""
     if not batch.num_rows:
         return

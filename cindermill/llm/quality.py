@@ -142,14 +142,16 @@ class ChainLoss:
         self.at = np.concatenate([[0], np.cumsum(self.active)])
         self.steps = sizes - 1
         self.chain = np.concatenate([np.arange(k) for k in self.active])
-        self.flat = np.empty((len(self.chain), chains[0].shape[1]), dtype=np.int64)
+        self.flat = np.empty((len(self.chain), chains[0].shape[1]), dtype=np.int16, order="F")
         for c, i in enumerate(order):
             self.flat[self.at[: len(chains[i])] + c] = chains[i]
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         w, stay, turn = x[:-2], x[-2], x[-1]
         at, active, longest = self.at, self.active, len(self.active)
-        u = w[self.flat].sum(axis=1)
+        u = np.zeros(len(self.chain))
+        for column in self.flat.T:
+            u += w[column]
         # Log-space forward and backward tables for [bad, good]; unary scores stand on good only.
         a = np.zeros((2, len(u)))
         b = np.zeros((2, len(u)))
@@ -186,7 +188,7 @@ def train(texts: list[str], y: np.ndarray, row_weights: np.ndarray) -> Model:
     """Maximise the weighted likelihood of all chains, whose lines carry their document's label."""
     if not texts:
         return Model(np.zeros(FEATURES), 0.0, 0.0)
-    loss = ChainLoss([features(t)[0] for t in texts], np.asarray(y, dtype=np.float64), np.asarray(row_weights, dtype=np.float64))
+    loss = ChainLoss([features(t)[0].astype(np.int16) for t in texts], np.asarray(y, dtype=np.float64), np.asarray(row_weights, dtype=np.float64))
     x = minimise(loss, np.zeros(FEATURES + 2), steps=80)
     return Model(x[:-2], float(x[-2]), float(x[-1]))
 
