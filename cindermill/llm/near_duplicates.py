@@ -9,11 +9,14 @@ signatures, so that a common passage alone ties nothing.
 
 1. Equal sets are one class (its smallest document stands for it).
 2. Holders of a signature are tied in a chain, first within each chunk of a task, then over all by one shuffle.
-   Components of these ties are families: no link leaves a family.
+   Components of these ties are families: no link leaves a family. Families larger than a block are tied anew, each by
+   itself, by other cells and without the shingles that are frequent among their members, while that takes them apart:
+   a passage that is rare among all documents ties ever more unlike ones as these grow in number.
 3. Families are cut into small blocks, and sets are compared exactly inside blocks; tasks return spanning links only.
    Then one set of each component so far stands for it, and these are compared in blocks, as long as that merges many:
    copies, however many, are one component by now. At last, sets of a family that are still in different components
-   are compared in pairs of blocks; blocks of one component are not compared with each other.
+   are compared in pairs of blocks; blocks of one component are not compared with each other. They are dealt into rounds
+   that copy about as much text as there is in all sets, so their number costs time but no disk.
 4. Components of all links, joined back to the classes, are the result.
 """
 
@@ -38,8 +41,9 @@ BLOCK_DOCS = 500
 BLOCK_ITEMS = 1_200_000
 #: Features whose values are summed at a time.
 CHUNK = 1 << 20
-#: Spare partitions, as a share of those needed.
+#: Spare partitions, as a share of those needed: at first, and where families are tied anew (few sets are poor then).
 SPARE = 0.15
+SPARE_ANEW = 0.5
 
 #: Documents sampled to find frequent shingles, the length of a text from which it is not, and the documents of the sample that share a frequent one.
 SAMPLE_DOCS = 20_000
@@ -62,10 +66,10 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 class Scheme:
-    """Bands and signatures for Jaccard >= num/den."""
+    """Bands and signatures for Jaccard >= num/den; each ``salt`` deals the features anew."""
 
-    def __init__(self, num: int, den: int, n2: int, k2: int):
-        self.num, self.den, self.n2, self.k2 = num, den, n2, k2
+    def __init__(self, num: int, den: int, n2: int, k2: int, salt: int = 0):
+        self.num, self.den, self.n2, self.k2, self.salt = num, den, n2, k2, salt
         self.lows, self.highs = [1], [den // num]
         self.subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
 
@@ -86,7 +90,7 @@ class Scheme:
     def _cells(self, items: np.ndarray, group: int, n1: int, domain: int) -> tuple[np.ndarray, np.ndarray]:
         """(marks, filled) of every subset of cells in every partition, by subset and partition."""
         cells = n1 * self.n2
-        cell = (mix(items, 1000 + 2 * group + domain) % np.uint64(cells)).astype(np.int64)
+        cell = (mix(items, 1000 + 2 * group + domain + (self.salt << 32)) % np.uint64(cells)).astype(np.int64)
         value = mix(items, 7)
         low, high = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
         for at in range(0, len(items), CHUNK):  # so few halves of 32 bits have an exact sum in a double
@@ -119,7 +123,7 @@ class Scheme:
             if not k:
                 continue  # similar sets of these bands are equal
             need = k // (self.k2 + 1) + 1
-            n1 = need + int(need * SPARE)
+            n1 = need + int(need * (SPARE_ANEW if self.salt else SPARE))
             # At least n1 - need + 1 partitions agree: a set with fewer poor partitions shares a rich one.
             poor = True
             if rare is not items:
@@ -179,7 +183,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _holder_task(words: int, scheme_args: tuple, frequent: np.ndarray):
-    """Texts to (sign, holder): who holds a signature, combined within a chunk.
+    """(text, family) to (sign, holder): who holds a signature of a family, combined within a chunk.
 
     Of a signature that several sets of a chunk hold, one row with its first holder goes on; the others are tied to
     that holder by a sign of its own. So a signature that a large family shares has a row per chunk, not per document.
@@ -190,11 +194,11 @@ def _holder_task(words: int, scheme_args: tuple, frequent: np.ndarray):
         for batch in batches:
             for part in small_batches(batch):
                 keys, signs = [], []
-                for text in part.column(0).to_pylist():
+                for text, own in zip(part.column(0).to_pylist(), mix(part.column(1).to_numpy().view(np.uint64), 4), strict=True):
                     items = shingles(text, words)
                     if len(items):
                         keys.append(set_key(items)[0])
-                        signs.append(scheme.signatures(items, frequent))
+                        signs.append(scheme.signatures(items, frequent) ^ own)
                 if not keys:
                     continue
                 holder = np.repeat(np.array(keys, dtype=np.uint64), [len(s) for s in signs])
@@ -339,7 +343,7 @@ def _open_members(members: DataFrame) -> DataFrame:
 
 
 def _pairs_of_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, g, side of every comparison that is left: sets of like size in different components of one family.
+    """node, n, g, side of every comparison that is left: sets of like size in different components of one family.
 
     A component of half a block or more has blocks of its own, the others share blocks. Pairs of blocks of one
     component are left out; a shared block is compared with itself, too.
@@ -351,7 +355,7 @@ def _pairs_of_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
     named = split_join(named, shared, ["family", "band"], "left").withColumn("own", F.when(F.col("part").isNull(), F.col("shared")).otherwise(F.col("own")))
     # A block's number tells all of it.
     block = F.xxhash64("family", "band", F.col("part").isNull(), F.coalesce("part", "family"), _block(3))
-    placed = scratch(named.select("node", "family", "band", "part", block.alias("block")), "placed-members")
+    placed = scratch(named.select("node", "n", "family", "band", "part", block.alias("block")), "placed-members")
     blocks = placed.select("family", "band", "part", "block").distinct()
     x, y = (blocks.select("family", *[F.col(c).alias(f"{s}_{c}") for c in ("band", "part", "block")]) for s in "xy")
     order = F.struct("x_band", "x_block") <= F.struct("y_band", "y_block")
@@ -360,7 +364,12 @@ def _pairs_of_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = pairs.select("x_block", "y_block", F.xxhash64("x_block", "y_block").alias("g"), (F.col("x_block") == F.col("y_block")).alias("self"))
     sides = F.when(F.col("self"), F.array(F.struct(F.col("x_block").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x_block").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y_block").alias("block"), F.lit(2).alias("side"))))
     work = pairs.select("g", F.inline(sides))
-    return placed.select("node", "block").join(work, "block").select("node", "g", "side")
+    return placed.select("node", "n", "block").join(work, "block").select("node", "n", "g", "side")
+
+
+def _wide(nodes: DataFrame) -> DataFrame:
+    """The rows of families that do not fit into a block."""
+    return split_join(nodes, nodes.groupBy("family").agg(_count(FIRST_DOCS)).filter("own > 1").select("family"), ["family"])
 
 
 def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, n2: int = 2, k2: int = 1, skip_frequent: bool = True) -> DataFrame:
@@ -382,19 +391,40 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     keyed = handover(slim.mapInArrow(tidy(_key_task(words, scheme, schema.names)), schema), "sets", narrow=True)
     classes = scratch(keyed.filter("n > 0").groupBy("k1", "k2", "band", "n").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes")
 
-    # One shuffle of the signatures: holders of one, in order, are tied each to the one before.
-    frequent = frequent_shingles(slim, words) if skip_frequent else np.zeros(0, np.uint64)
-    holders = slim.select("text").mapInArrow(tidy(_holder_task(words, scheme, frequent)), "sign long, holder long")
-    before = F.lag("holder").over(Window.partitionBy("sign").orderBy("holder"))
-    ties = scratch(holders.select(F.col("holder").alias("a"), before.alias("b")).filter("a <> b").distinct(), "ties")
-    free_shuffles(spark)
-    families = components(ties, "families", scratch)
-    members = families.select(F.col("node").alias("k1"), F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("k1"), F.col("component").alias("family")).distinct())
+    def tied(texts: DataFrame, salt: int, frequent: np.ndarray) -> DataFrame:
+        """k1, family of the sets that are tied with others of the same ``family`` of ``texts`` (text, family)."""
+        # One shuffle of the signatures: holders of one, in order, are tied each to the one before.
+        holders = texts.select("text", "family").mapInArrow(tidy(_holder_task(words, (*scheme, salt), frequent)), "sign long, holder long")
+        before = F.lag("holder").over(Window.partitionBy("sign").orderBy("holder"))
+        ties = scratch(holders.select(F.col("holder").alias("a"), before.alias("b")).filter("a <> b").distinct(), "ties")
+        free_shuffles(spark)
+        families = components(ties, "families", scratch)
+        return families.select(F.col("node").alias("k1"), F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("k1"), F.col("component").alias("family")).distinct())
+
+    members = tied(slim.withColumn("family", F.lit(0).cast("long")), 0, frequent_shingles(slim, words) if skip_frequent else np.zeros(0, np.uint64))
     # A node in several families or sets (an id that repeats) has a row for each.
-    nodes = scratch(members.join(classes, "k1").select("node", "family", "band", "n").distinct(), "family-nodes")
+    nodes = scratch(members.join(classes, "k1").select("k1", "node", "family", "band", "n").distinct(), "family-nodes")
+
+    source, sources, wide = slim, Scratch(spark), scratch(_wide(nodes), "wide-nodes")
+    size = wide.count()
+    for salt in count(1):
+        if not size:
+            break
+        own = wide.select(F.col("node").alias("doc_id"), "family").distinct()
+        source = sources(source.select("doc_id", "text").join(own.hint("merge"), "doc_id"), "wide-texts")
+        sources.clear(leave=1)
+        free_shuffles(spark)
+        again = scratch(wide.drop("family").join(tied(source, salt, frequent_shingles(source, words)), "k1").select(*nodes.columns).distinct(), "wide-nodes")
+        nodes = scratch(nodes.join(wide.select("family").distinct(), "family", "left_anti").select(*nodes.columns).unionByName(again), "family-nodes")
+        wide = scratch(_wide(again), "wide-nodes")
+        before, size = size, wide.count()
+        # Another round pays only while families come apart.
+        if 2 * size > before:
+            break
+    sources.clear()
 
     # The number of family members grows with the input, so they are never broadcast.
-    placed = _first_blocks(nodes).withColumnRenamed("node", "doc_id")
+    placed = _first_blocks(nodes.select("node", "family", "band", "n").distinct()).withColumnRenamed("node", "doc_id")
     texts = scratch(slim.join(placed.hint("merge"), "doc_id").withColumnRenamed("doc_id", "node"), "family-texts")
     free_shuffles(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -430,7 +460,13 @@ def similar_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             if not wide or 2 * merged < stood:
                 break
         if not current.isEmpty():
-            links = links.unionByName(compare(_pairs_of_blocks(current, scratch).join(own_text, "node"), "links-pairs"))
+            work = _pairs_of_blocks(current, scratch)
+            all_sets, copied = (df.agg(F.sum("n")).first()[0] for df in (classes, work))
+            rounds = -(-(copied or 0) // all_sets)
+            for i in range(rounds):
+                links = links.unionByName(compare(work.filter(F.pmod(F.xxhash64(F.lit(5), "g"), F.lit(rounds)) == i).drop("n").join(own_text, "node"), "links-pairs"))
+                if rounds > 1:
+                    free_shuffles(spark)
     linked = components(links, "links", scratch)
 
     roots = handover(classes.join(linked, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("root")), "roots")

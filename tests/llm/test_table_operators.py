@@ -79,6 +79,51 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, words, num, n2, k2,
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == components_by_hand(rows, words, num)
 
 
+@pytest.fixture
+def compared(spark, monkeypatch):
+    """Characters that each comparison of a join deals out, in small blocks."""
+    monkeypatch.setattr(near_duplicates, "FIRST_DOCS", 3)
+    monkeypatch.setattr(near_duplicates, "BLOCK_DOCS", 5)
+    frame, seen = type(spark.range(1)), []
+
+    def repartition(self, *args, dealt=frame.repartition):
+        if self.columns == ["g", "side", "node", "text"]:
+            seen.append(self.agg(F.sum(F.length("text"))).first()[0] or 0)
+        return dealt(self, *args)
+
+    monkeypatch.setattr(frame, "repartition", repartition)
+    return seen
+
+
+def test_jaccard_join_copies_little_text_at_a_time(spark, compared):
+    """Sixty unlike versions of one text, and a near copy of every sixth: all are tied, and compared pair by pair."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(60), 2):
+            w[at] = f"v{i}x{at}"
+        texts += [" ".join(w)] + [" ".join([*w, "end"])] * (i % 6 == 0)
+    rows = list(enumerate(texts))
+    out = near_duplicates.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, skip_frequent=False).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == components_by_hand(rows, 3, 90)
+    total = sum(map(len, texts))
+    assert sum(compared) > 8 * total and max(compared) < 3 * total
+
+
+def test_a_passage_alone_leads_to_no_comparison(spark, compared):
+    """Texts tied by the cells of a passage that did not count as frequent come apart before they are compared."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [f"{passage} {' '.join(str(rng.random()) for _ in range(80))}" for _ in range(60)]
+    texts.append(f"{texts[7]} more")
+    rows = list(enumerate(texts))
+    out = near_duplicates.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, skip_frequent=False).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == components_by_hand(rows, 5, 80)
+    assert sum(compared) < 10 * len(texts[0])
+
+
 def test_jaccard_join_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s t"), (4, None), (4, None)], "doc_id long, text string")
     out = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.similar_components(docs, 3, 90).collect())
