@@ -704,19 +704,32 @@ def stream_alerts(spark, sf_dir):
     return _fsm_columns(spark.read.parquet(path))
 
 
+#: Rows of a file of a part, roughly.
+PART_FILE_ROWS = 250_000
+
+
 def _parts_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The logs as a stream of several micro-batches, in order of time: each part is written after the one before it."""
+    """The logs as a stream of ``parts`` micro-batches, in order of time, however many files the table has.
+
+    Each part is written after the one before it and has as many files as any other, so that a micro-batch is a part. If one
+    held some files of a part only, the watermark would pass the rows of the others, and batches would grow in number with the input.
+    """
 
     def write(path: str) -> None:
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        ends = events.select(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b")).first()
+        ends = events.select(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"), F.count("*").alias("n")).first()
+        files = max(1, -(-ends.n // (parts * PART_FILE_ROWS)))
         for k in range(parts):
             low, high = (ends.a + (ends.b - ends.a) * x / parts for x in (k, k + 1))
             at = F.col("ts").cast("timestamp")
-            events.filter((at >= F.lit(low)) & ((at < F.lit(high)) if k < parts - 1 else F.lit(True))).write.mode("append").parquet(path)
+            part = events.filter((at >= F.lit(low)) & ((at < F.lit(high)) if k < parts - 1 else F.lit(True)))
+            part.repartition(files).write.mode("append").parquet(path)
+            # A part of few rows may have left out empty files.
+            for _ in range((k + 1) * files - len(spark.read.parquet(path).inputFiles())):
+                events.limit(0).coalesce(1).write.mode("append").parquet(path)
 
     path = _stored(spark, sf_dir, "events-parts", write)
-    return logs_from_events(engine.stream_of(spark, path, files_per_trigger=1))
+    return logs_from_events(engine.stream_of(spark, path, files_per_trigger=len(spark.read.parquet(path).inputFiles()) // parts))
 
 
 #: What the watermark of an hour has passed at the end of the test events.

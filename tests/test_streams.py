@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindermill.operators import alerts, index, ingest, metrics, storage
+from cindermill.plans import catalogue
 from cindermill.schema import HOUR_MS, LOG_SCHEMA, MINUTE_MS
 from cindermill.sources.logs import bulk_fixture, stream_json_logs, to_messages
 from cindermill.streaming import engine
@@ -163,3 +164,24 @@ def test_tier_router_and_live_tail(spark, tmp_path, source):
     assert ("/topic/logs/errors", "be07") in seen and ("/topic/logs/auth-service", "e04") in seen
     assert spark.read.parquet(hot).filter("storage_tier = 'HOT'").count() == 20 and spark.read.parquet(warm).select("event_date").distinct().count() == 1
     assert storage.expire_hot(spark, hot, T0 + HOUR_MS + 30 * MINUTE_MS) == 1 and ingest.validate(spark.read.parquet(hot)).count() == 10
+
+
+@pytest.mark.parametrize("rows_a_file", [250_000, 40])
+def test_a_table_of_several_files_is_as_many_micro_batches(spark, sf_dir, tmp_path, monkeypatch, rows_a_file):
+    """Files of a table overlap in time: a micro-batch of one of them would let the watermark pass the rows of the others."""
+    import duckdb
+
+    monkeypatch.setattr(catalogue, "PART_FILE_ROWS", rows_a_file)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # Some days have few rows only, so that a part has fewer rows than files.
+    thin = events.filter("(ts < timestamp '2024-01-16' OR ts >= timestamp '2024-01-23' OR event_id % 97 = 0)")
+    for k in range(3):
+        thin.filter(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalogue.queries()["stream_sliding"](spark, str(tmp_path))
+    want = connection.execute(catalogue.oracle_sql()["stream_sliding"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 0
+    tail = catalogue.queries()["stream_tail"](spark, str(tmp_path))
+    batches = {f.rsplit("batch_id=", 1)[1].split("/")[0] for f in tail.inputFiles()}
+    assert len(batches) == 4 and tail.filter("topic = '/topic/logs'").count() == thin.count()
