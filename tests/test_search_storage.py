@@ -207,3 +207,14 @@ def test_warm_round_trip(spark, fixture_logs, tmp_path):
     assert back.count() == 10 and "event_date" in back.columns
     assert storage.by_id(back, "e04").first().level == "INFO"
     assert storage.by_key(back, "auth-service", "e01").count() == 0
+
+
+def test_postings_split_a_message_once_and_gather_repeats(spark):
+    """Repeated terms, records that come twice and records of one event that differ; two branches read what is split once for both."""
+    kind = "event_id string, ts_ms long, service_name string, level string, message string"
+    rows = [("a", 1, "S", "ERROR", "The timeout, timeout."), ("a", 1, "S", "ERROR", "The timeout, timeout."), ("a", 1, "S", "WARN", "late timeout"), ("b", 2, None, None, " of the of SQL"), ("c", 3, "S", "INFO", None), ("d", 4, "S", "INFO", "")]
+    found = index.postings(spark.createDataFrame(rows, kind))
+    got = sorted((r.event_id, r.term, r.positions) for r in found.collect())
+    want = [("a", "late", [0]), ("a", "level:error", [0]), ("a", "level:warn", [0]), ("a", "service:s", [0]), ("a", "timeout", [1, 2]), ("b", "sql", [4]), ("d", "level:info", [0]), ("d", "service:s", [0])]
+    assert got == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
